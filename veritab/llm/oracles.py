@@ -1,3 +1,40 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_BENCH_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_BENCH_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS p
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)
+),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p
+  FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)
+),
+hit AS (SELECT dw.rid, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.n = bw.n),
+words_hit AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS j FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS p FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT p FROM win GROUP BY p HAVING count(*) > 1),
+gone AS (SELECT rid, list(DISTINCT j) AS js FROM (SELECT rid, unnest(generate_series(i, i + 34)) AS j FROM win JOIN again USING (p)) GROUP BY rid),
+word AS (SELECT rid, unnest(w) AS t, unnest(generate_series(1, len(w))) AS j FROM d),
+lost AS (SELECT rid, unnest(js) AS j FROM gone),
+kept AS (SELECT word.rid, string_agg(t, ' ' ORDER BY j) AS s, count(*) AS n FROM word ANTI JOIN lost ON word.rid = lost.rid AND word.j = lost.j GROUP BY word.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_positional_index": OP1,
+    "op2_super_kmers": OP2,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, warc, wordpiece
+from . import decontaminate, packing, quality, sharding, substrings, warc, wordpiece
 from .oracles import ORACLES
 
 SHARDS = 16
@@ -23,6 +23,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def op2_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), "doc_id", "text").drop("clean_text")
 
@@ -46,6 +55,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_positional_index": op1_positional_index,
+        "op2_super_kmers": op2_super_kmers,
         "op3_quality_rules": op3_quality_rules,
         "op5_rendezvous_shards": op5_rendezvous_shards,
         "op7_warc_round_trip": op7_warc_round_trip,
