@@ -34,7 +34,23 @@ kept AS (SELECT word.rid, string_agg(t, ' ' ORDER BY j) AS s, count(*) AS n FROM
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
 """
 
+OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+s AS (SELECT DISTINCT rid, doc_id, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pair AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.rid < b.rid GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT rid, rid AS to_rid FROM d UNION SELECT reach.rid, both_ways.y FROM reach JOIN both_ways ON reach.to_rid = both_ways.x),
+comp AS (SELECT reach.rid, min(t.doc_id) AS component_id FROM reach JOIN d t ON t.rid = reach.to_rid GROUP BY reach.rid)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d LEFT JOIN n USING (rid) JOIN comp USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_positional_index": OP1,
     "op2_super_kmers": OP2,
+    "op4_chosen_path": OP4,
 }

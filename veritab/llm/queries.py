@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, substrings, warc, wordpiece
+from . import decontaminate, neardup, packing, quality, sharding, substrings, warc, wordpiece
 from .oracles import ORACLES
 
 SHARDS = 16
@@ -36,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), "doc_id", "text").drop("clean_text")
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_positional_index": op1_positional_index,
         "op2_super_kmers": op2_super_kmers,
         "op3_quality_rules": op3_quality_rules,
+        "op4_chosen_path": op4_chosen_path,
         "op5_rendezvous_shards": op5_rendezvous_shards,
         "op7_warc_round_trip": op7_warc_round_trip,
         "op8_best_fit_packing": op8_best_fit_packing,
