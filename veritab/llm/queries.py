@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, quality, sharding, substrings, warc, wordpiece
+from . import decontaminate, neardup, packing, quality, sharding, substrings, toxicity, transcripts, warc, wordpiece
 from .oracles import ORACLES
 
 SHARDS = 16
@@ -44,6 +45,10 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault")
@@ -57,6 +62,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", wordpiece.byte_bpe_vocabulary(tokenizer_path()))
 
 
+def op10_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    pieces = turns.select("conv_id", "turn", transcripts.with_markers(F.col("text"), F.col("role"), F.col("turn")).alias("piece"))
+    return transcripts.parse_transcripts(pieces, "conv_id", "turn", "piece")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_positional_index": op1_positional_index,
@@ -64,9 +75,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_chosen_path": op4_chosen_path,
         "op5_rendezvous_shards": op5_rendezvous_shards,
+        "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
         "op7_warc_round_trip": op7_warc_round_trip,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_token_counts": op9_token_counts,
+        "op10_transcript_roles": op10_transcript_roles,
     }
 
 
