@@ -82,7 +82,8 @@ def matches(docs: DataFrame, windows: DataFrame, width: int, anchors: int = 3, s
     shifted = index.join(_small(chosen), "term").select(
         "key", "window", (F.col("at") - F.col("place")).alias("start"), F.size("terms").alias("n_terms"), "rank", "n_ranks", exact.alias("exact")
     )
-    if slop == 0:
+    if slop == 0:  # a phrase is seen whole around each of its terms, so what isn't one needn't be shuffled
+        shifted = shifted.where("exact")
         ranks = F.bit_count(F.bit_or(F.expr("1L << rank"))).alias("ranks")
         met = shifted.groupBy("key", "window", "start", "n_terms", "n_ranks").agg(ranks, F.max("exact").alias("exact"))
     else:
