@@ -40,35 +40,32 @@ def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def fractional(histogram: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
+def fractional(histogram: np.ndarray, capacity: int, rounds: int, rate: float, eta: float) -> list[tuple[np.ndarray, float]]:
     """An approximate solution of the configuration program: patterns and how often each is used, so that every length is covered.
 
-    Multiplicative weights: each length's price falls with the cover that it has had in relation to its demand; the pattern of the greatest price, found by
-    `best_pattern`, is used until it has covered a share ``rate`` of the demand of one of its lengths.
+    Multiplicative weights: a length's price is its share of the capacity times exp(-eta * the share of its demand that is covered). Each round takes the longest length not
+    yet covered, which fits with the fewest others, and the pattern of the greatest price around it, found by `best_pattern`; it is used until it has covered a share
+    ``rate`` of what one of its lengths still needs. With a rate of 1, each round covers a length wholly, so there are at most as many rounds as lengths.
     """
-    demand = histogram.astype(float)
-    there = demand > 0
-    price = np.where(there, 1 / np.maximum(demand, 1), 0.0)
-    cover, used = np.zeros(capacity + 1), {}
+    demand, lengths = histogram.astype(float), np.arange(capacity + 1)
+    left, used = demand.copy(), {}
     for _ in range(rounds):
-        if not there.any() or cover[there].min() >= 1:
+        open_ = np.flatnonzero(left > 1e-9)
+        if not len(open_):
             break
-        _, pattern = best_pattern(price, capacity)
+        top = int(open_[-1])
+        price = lengths / capacity * np.exp(-eta * (1 - left / np.maximum(demand, 1))) * (left > 1e-9)
+        pattern = np.zeros(capacity + 1, np.int64)
+        if top < capacity:
+            pattern[: capacity - top + 1] = best_pattern(price, capacity - top)[1]
+        pattern[top] += 1
         inside = pattern > 0
-        times = rate * float((demand[inside] / pattern[inside]).min())
+        most = float((left[inside] / pattern[inside]).min())
+        times = max(rate * most, min(1.0, most))
+        left[inside] -= times * pattern[inside]
         key = pattern.tobytes()
         used[key] = used.get(key, 0.0) + times
-        gained = np.zeros(capacity + 1)
-        gained[inside] = times * pattern[inside] / demand[inside]
-        cover += gained
-        price *= np.exp(-gained * np.log1p(1 / rate) * rate)
-        price[there] = np.maximum(price[there], 1e-300)
-        price /= price.sum()
-    if not used:
-        return []
-    least = cover[there].min()
-    scale = 1 / least if least > 0 else 1.0
-    return [(np.frombuffer(k, np.int64), n * min(scale, 1.0)) for k, n in used.items()]
+    return [(np.frombuffer(k, np.int64), n) for k, n in used.items()]
 
 
 def best_fit(left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
@@ -123,15 +120,15 @@ class Packing:
         return sum(self.patterns.values())
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.1) -> Packing:
+def solve(histogram: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 1.0, eta: float = 0.05) -> Packing:
     """Packs ``histogram[l]`` pieces of each length ``l``: the program's solution rounded down, what is left by best fit; best fit alone if that takes fewer."""
     histogram = histogram.astype(np.int64)
     left, patterns = histogram.copy(), {}
     full = int(left[capacity])
     left[capacity] = 0
-    for pattern, times in sorted(fractional(left, capacity, rounds, rate), key=lambda x: -x[1]):
+    for pattern, times in fractional(left, capacity, rounds or 4 * capacity, rate, eta):
         inside = pattern > 0
-        n = int(min(np.floor(times), (left[inside] // pattern[inside]).min()))
+        n = int(min(np.floor(times + 1e-9), (left[inside] // pattern[inside]).min()))
         if n > 0:
             left -= n * pattern
             key = tuple(np.repeat(np.arange(capacity + 1), pattern)[::-1].tolist())
@@ -219,7 +216,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
     return rows.mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 1024, end_id: int = 2, parts: int = 64, rounds: int = 400) -> DataFrame:
+def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 1024, end_id: int = 2, parts: int = 64) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32, sequence_id, offset`` of each piece (see `pieces`).
 
     The histogram of lengths, ``capacity`` numbers, goes to the driver, which packs it (`solve`). Each length's pieces are ranked without gaps, in ``parts`` parts so that a
@@ -234,7 +231,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: in
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():
         histogram[row["length"]] = row["n"]
-    places = slots(solve(histogram, capacity, rounds), capacity)
+    places = slots(solve(histogram, capacity), capacity)
     shared = df.sparkSession.sparkContext.broadcast(places)
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
