@@ -49,8 +49,68 @@ comp AS (SELECT reach.rid, min(t.doc_id) AS component_id FROM reach JOIN d t ON
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d LEFT JOIN n USING (rid) JOIN comp USING (rid)
 """
 
+OP3 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 7), ' ') AS p FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+again AS (SELECT rid, p FROM win GROUP BY rid, p HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS j FROM win JOIN again USING (rid, p)) GROUP BY rid),
+cut AS (SELECT rid, string_split(text, chr(10)) AS parts FROM d),
+each_line AS (SELECT rid, unnest(parts) AS line, unnest(generate_series(1, len(parts))) AS place FROM cut),
+split AS (SELECT rid, line, place, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM each_line),
+worded AS (SELECT *, len(w)::BIGINT AS n, row_number() OVER (PARTITION BY rid, line ORDER BY place) > 1 AS repeated FROM split WHERE len(w) > 0),
+judged AS (
+  SELECT *, CASE
+      WHEN (line LIKE '%|%' OR n > 2) AND len(list_filter(w, lambda x: list_contains(['|', '/', '>', '»', '›', '·', '•', '::', '-', '–', '—'], x))) > 0
+           AND len(list_filter(w, lambda x: list_contains(['|', '/', '>', '»', '›', '·', '•', '::', '-', '–', '—'], x))) >= 0.2 * n THEN true
+      WHEN len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.3 * n THEN true
+      WHEN len(list_filter(w, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) > 0.3 * n AND regexp_matches(line, '!!|[?]!|[?][?]') THEN true
+      WHEN n <= 40 AND regexp_matches(lower(line), 'lorem ipsum|all rights reserved|terms of use|terms of service|privacy policy|cookie policy|enable javascript|click here|sign up for|log in to') THEN true
+      WHEN n >= 8 AND NOT list_contains(['.', '!', '?', ':', ';', '…', '。', '！', '？', '"', chr(39), '”', '’', '»', ')', ']'], right(w[-1], 1)) THEN true
+      ELSE false END AS faulty,
+    list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars
+  FROM worded
+),
+docs AS (
+  SELECT rid, sum(repeated::INT)::BIGINT AS n_dup_lines, sum((repeated OR faulty)::INT)::BIGINT AS n_lines_removed, sum(chars)::BIGINT AS word_chars,
+         coalesce(sum(chars) FILTER (WHERE NOT (repeated OR faulty)), 0)::BIGINT AS kept_chars
+  FROM judged GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+       coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(kept_chars, 0)::BIGINT AS kept_chars,
+       len(w) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(w) AS base_failed,
+       NOT (len(w) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(w)) AND coalesce(word_chars, 0) - coalesce(kept_chars, 0) <= 0.5 * coalesce(word_chars, 0) AS kept
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN docs USING (rid)
+"""
+
+OP5 = """
+WITH RECURSIVE step AS (SELECT i AS c, 0 AS k, i AS v FROM range(256) AS t(i) UNION ALL SELECT c, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY c) AS tab FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+draw AS (SELECT rid, j, ('0x' || substr(md5(doc_id::VARCHAR || '/' || j), 1, 13))::BIGINT AS u FROM d, range(17) AS s(j)),
+best AS (SELECT rid, arg_max(j, u) FILTER (WHERE j < 16) AS shard, arg_max(j, u) AS grown_shard FROM draw GROUP BY rid),
+sums AS (
+  SELECT rid, xor(list_reduce(list_transform(range(strlen(text)), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM (SELECT rid, text, hex(encode(text)) AS h FROM d), crc
+)
+SELECT doc_id, strlen(text)::BIGINT + 1 AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR || '/slot'), 1, 8))::BIGINT % 256, doc_id, text_crc32, strlen(text)) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM d JOIN best USING (rid) JOIN sums USING (rid)
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),
+b AS (SELECT h, list_aggregate(list_transform(range(40), lambda i: lpad(bin(('0x' || substr(h, (i + 1)::INT, 1))::INT), 4, '0')), 'string_agg', '') AS bits FROM m)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5), lambda j: (substr(bits, (5 * i + j + 1)::INT, 1) = '1')::INT * (16 >> j::INT))))::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, NULL::VARCHAR AS fault
+FROM p JOIN m USING (h) JOIN b USING (h)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_positional_index": OP1,
     "op2_super_kmers": OP2,
+    "op3_quality_rules": OP3,
     "op4_chosen_path": OP4,
+    "op5_rendezvous_shards": OP5,
+    "op7_warc_round_trip": OP7,
 }
