@@ -190,8 +190,9 @@ def test_near_duplicates(docs, none):
 
 
 @pytest.mark.parametrize("node", [2, 4, 16])
-def test_large_nodes_lose_no_link(spark, node):
+def test_large_nodes_lose_no_link(spark, node, monkeypatch):
     """Groups of edited copies far larger than a node: leaders of leaders, branching by rare shingles, and pairs of blocks."""
+    monkeypatch.setattr(neardup, "WIDE", 2 * node)
     rng, rows = random.Random(3), []
     for g in range(3):
         base = [f"g{g}w{i}" for i in range(80)]

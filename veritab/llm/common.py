@@ -58,7 +58,8 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of the batches that hold about ``max_bytes`` of ``column`` each, one row at least."""
+    """Consecutive slices of the batches that hold about ``max_bytes`` of ``column`` each, one row at least. Arrow's memory comes from the system, so what is freed goes back."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue

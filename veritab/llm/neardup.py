@@ -12,12 +12,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import full_windows, hash_words, mixed, sliced, split_words, stored, window_hashes
 from .components import components
 
 #: A side of a join with more rows than this is not broadcast.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 200_000
+#: Nodes by rare shingle, in which few documents are compared with all, may hold so many documents and their full sets.
+WIDE = 4096
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -34,7 +37,6 @@ class Join:
     depth: int = 2
     recall: float = 0.999999
     node: int = 256
-    max_depth: int = 8
 
     @property
     def trees(self) -> int:
@@ -48,11 +50,15 @@ class Join:
         """Minwise tokens of a document: those of the first ``depth`` levels of each tree, which trees don't share, and at least 48 for estimates."""
         return max(48, self.trees * (2 ** (self.depth + 1) - 2))
 
+    def near(self, deviations: float) -> int:
+        """Equal tokens that linked sets have at least, but for so many standard deviations."""
+        s = self.percent / 100
+        return max(1, math.floor(self.tokens * s - deviations * math.sqrt(self.tokens * s * (1 - s))))
+
     @property
     def agree(self) -> int:
         """Two linked sets have fewer equal tokens than this with a chance below one in a million: five standard deviations."""
-        s = self.percent / 100
-        return max(1, math.floor(self.tokens * s - 5 * math.sqrt(self.tokens * s * (1 - s))))
+        return self.near(5)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +83,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, how: Join) -> DataFrame:
-    """``id, set`` (a 128-bit name of the set; null if empty), ``n, tokens``."""
+    """``id, set`` (a 128-bit name of the set; null if empty), ``n, tokens`` (minwise values) and ``sketch`` (a byte of each)."""
     kind = docs.schema["id"].dataType.simpleString()
     t = how.tokens
 
@@ -95,12 +101,15 @@ def _signatures(docs: DataFrame, how: Join) -> DataFrame:
                         tokens[:, j] = (mixed(least) >> np.uint64(33)).astype(np.int32)
             names: list[bytes | None] = [None] * len(n)
             every: list[np.ndarray | None] = [None] * len(n)
+            sketches: list[bytes | None] = [None] * len(n)
             for row, i in enumerate(full.tolist()):
                 names[i] = hashlib.md5(shingles[at[i] : at[i + 1]]).digest()
                 every[i] = tokens[row]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(every, pa.list_(pa.int32()))], names=["id", "set", "n", "tokens"])
+                sketches[i] = tokens[row].astype(np.uint8).tobytes()
+            out = [batch.column("id"), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(every, pa.list_(pa.int32())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "set", "n", "tokens", "sketch"])
 
-    return docs.mapInArrow(run, f"id {kind}, set binary, n long, tokens array<int>")
+    return docs.mapInArrow(run, f"id {kind}, set binary, n long, tokens array<int>, sketch binary")
 
 
 def _first_nodes(sets: DataFrame, how: Join) -> DataFrame:
@@ -115,7 +124,7 @@ def _first_nodes(sets: DataFrame, how: Join) -> DataFrame:
                 longer += [[*path, F.lit(j), F.col("tokens")[j]] for j in (level + 2 * i, level + 2 * i + 1)]
             paths = longer
         keys += [F.xxhash64(*p) for p in paths]
-    return sets.select(F.explode(F.array(*keys)).alias("node"), "v", "n", "tokens")
+    return sets.select(F.explode(F.array(*keys)).alias("node"), "v")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -149,53 +158,95 @@ def _spans(node: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(begin[many].tolist(), end[many].tolist(), strict=True)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, width)
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _pairs_of(rows: DataFrame, how: Join, across: bool) -> DataFrame:
-    """Pairs ``a, b`` to confirm, of rows ``node, v, n, tokens`` (and ``component``) in nodes of ``how.node`` rows at most.
+def _popularity(tokens: np.ndarray) -> np.ndarray:
+    """How often each row's tokens occur at their places among the rows, summed: greatest for the row that is most like the others."""
+    t = tokens.shape[1]
+    flat = tokens + np.arange(t) * 256
+    return np.bincount(flat.ravel(), minlength=256 * t)[flat].sum(axis=1)
 
-    Not ``across``: each document with the first of its node that it resembles (a leader); so a group of copies gives a star. ``across``: all documents of a node that are
-    in different components and can be linked, by their sizes and their equal tokens.
-    """
-    t, agree, percent = how.tokens, how.agree, how.percent
+
+def _stars(rows: DataFrame, how: Join) -> DataFrame:
+    """``node, a, b, split``: in each node, documents with the one most like all of them (a leader) that they resemble; those that don't resemble it, with a leader of their own, and
+    so on. Nodes of more than ``how.node`` documents are split by a hash; ``split`` tells so, and their leaders can meet in a node of leaders."""
+    t, near, percent = how.tokens, how.near(1.5), how.percent
     kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            tokens, n = _matrix(batch.column("tokens"), t), batch.column("n").to_numpy()
-            group = batch.column("component").dictionary_encode().indices.to_numpy() if across else None
+            tokens, n = _bytes(batch.column("sketch"), t), batch.column("n").to_numpy()
             left, right = [], []
             for lo, hi in _spans(batch.column("node").to_numpy()):
-                if across and (group[lo:hi] == group[lo]).all():
-                    continue
                 open_ = np.arange(lo, hi)
+                weight = _popularity(tokens[lo:hi]) if hi - lo > 2 else np.zeros(2)
                 while len(open_) > 1:
-                    first, others = open_[0], open_[1:]
-                    near = ((tokens[others] == tokens[first]).sum(axis=1) >= agree) & (100 * np.minimum(n[others], n[first]) >= percent * np.maximum(n[others], n[first]))
-                    if across:
-                        near &= group[others] != group[first]
-                        open_ = others
-                    else:
-                        open_ = others[~near]
-                    hit = others[near]
-                    left += [first] * len(hit)
-                    right += hit.tolist()
+                    first = open_[weight[open_ - lo].argmax()]
+                    alike = ((tokens[open_] == tokens[first]).sum(axis=1) >= near) & (100 * np.minimum(n[open_], n[first]) >= percent * np.maximum(n[open_], n[first])) & (open_ != first)
+                    left += [first] * int(alike.sum())
+                    right += open_[alike].tolist()
+                    open_ = open_[~alike & (open_ != first)]
+            if left:
+                v, first = batch.column("v"), pa.array(left)
+                yield pa.RecordBatch.from_arrays([batch.column("whole").take(first), v.take(first), v.take(pa.array(right)), batch.column("split").take(first)], names=["node", "a", "b", "split"])
+
+    parts = F.ceil(F.col("size") / how.node)
+    chunk = F.when(parts > 1, F.xxhash64("node", F.pmod(F.xxhash64("v", F.lit("chunk")), parts))).otherwise(F.col("node"))
+    dealt = rows.select(chunk.alias("node"), F.col("node").alias("whole"), "v", "n", "sketch", (parts > 1).alias("split"))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(partitions, "node").sortWithinPartitions("node", "v").mapInArrow(run, f"node long, a {kind}, b {kind}, split boolean")
+
+
+def _all_stars(rows: DataFrame, how: Join) -> DataFrame:
+    """Pairs ``a, b`` of the stars of all nodes, of the leaders of nodes that were split, of their leaders, and so on."""
+    pairs = None
+    while True:
+        made = stored(_stars(rows, how), "stars")
+        own = made.select("a", "b")
+        pairs = own if pairs is None else pairs.union(own)
+        leaders = made.where("split").select("node", F.col("a").alias("v")).distinct()
+        if not leaders.take(1):
+            return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        leaders = leaders.join(rows.select("node", "v", "n", "sketch"), ["node", "v"])
+        rows = stored(leaders.join(leaders.groupBy("node").agg(F.count("*").alias("size")), "node"), "leaders")
+
+
+def _across(rows: DataFrame, how: Join) -> DataFrame:
+    """Pairs ``a, b`` of all documents of a node that are in different components and may be linked: by their sizes, by the shingles that each shares with any other document
+    (``shared``), and by their equal tokens."""
+    t, agree, percent = how.tokens, how.agree, how.percent
+    kind = rows.schema["v"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            tokens, n, shared = _bytes(batch.column("sketch"), t), batch.column("n").to_numpy(), batch.column("shared").to_numpy()
+            group = batch.column("component").dictionary_encode().indices.to_numpy()
+            left, right = [], []
+            for lo, hi in _spans(batch.column("node").to_numpy()):
+                if (group[lo:hi] == group[lo]).all():
+                    continue
+                for first in range(lo, hi - 1):
+                    others = np.arange(first + 1, hi)
+                    others = others[group[others] != group[first]]
+                    common = np.minimum(shared[others], shared[first])
+                    others = others[(100 + percent) * common >= percent * (n[others] + n[first])]
+                    others = others[(tokens[others] == tokens[first]).sum(axis=1) >= agree]
+                    left += [first] * len(others)
+                    right += others.tolist()
             if left:
                 v = batch.column("v")
                 yield pa.RecordBatch.from_arrays([v.take(pa.array(left)), v.take(pa.array(right))], names=["a", "b"])
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(partitions, "node").sortWithinPartitions("node", "n", "v")
+    dealt = rows.select("node", "v", "n", "shared", "sketch", "component").repartition(partitions, "node").sortWithinPartitions("node", "v")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only the texts of documents in a pair are read into sets."""
-    pairs = stored(pairs, "pairs")
-    ends = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
-    wanted = docs.join(_bounded(ends), "id", "left_semi")
+def _sets_of(docs: DataFrame, ids: DataFrame, how: Join) -> DataFrame:
+    """``id, set``: the full sets of the documents with these ids. Only their texts are read into sets."""
+    wanted = docs.join(_bounded(ids), "id", "left_semi")
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,71 +254,120 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
             shingles, at = shingle_sets(batch.column("text"), how.words)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64)))], names=["id", "set"])
 
-    sets = stored(wanted.mapInArrow(run, f"id {kind}, set array<long>"), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("union"))
-    return compared.where(100 * F.col("common") >= how.percent * F.col("union")).select("a", "b").distinct()
+    return wanted.mapInArrow(run, f"id {kind}, set array<long>")
 
 
-def _stars(rows: DataFrame, how: Join) -> DataFrame:
-    """In nodes of any size: each document with the node's smallest set, if they may be linked. No node is gathered: a grouped minimum, and a join with one row a node."""
-    hub = rows.groupBy("node").agg(F.min(F.struct("n", "v", "tokens")).alias("hub"))
-    equal = F.size(F.filter(F.zip_with("tokens", F.col("hub.tokens"), lambda x, y: x == y), lambda x: x))
-    met = rows.join(hub, "node").where((F.col("v") != F.col("hub.v")) & (100 * F.col("hub.n") >= how.percent * F.col("n")) & (equal >= how.agree))
-    return met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
+def _heads(full: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
+    """``v, component, shared, shingle``: the rarest shingles of the documents of ``rows`` (``node, v, n, component``), so many that linked documents have one in common; ``shared``
+    counts a document's shingles that others have too.
+
+    Of two linked sets of n and m shingles, percent * (n + m) / (100 + percent) are common, so with all shingles in one order, rarest first, the sets meet within the first
+    n - that + 1. m is at least percent % of n, and at least the smallest set in a node of the document. Shingles that no other document has are left out: so documents of
+    which that many are their own, such as copies that are edited too much, have no row. Rarity is counted by partial sums: a common shingle is no hot key.
+    """
+    least = rows.groupBy("node").agg(F.min("n").alias("least"))
+    own = stored(rows.join(least, "node").groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
+    sets = full.withColumnRenamed("id", "v")
+    each = sets.join(_bounded(own.select("v")), "v").select("v", F.explode("set").alias("shingle"))
+    counts = stored(each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("v").alias("first")), "shingles")
+    alone = counts.where("docs = 1").groupBy(F.col("first").alias("v")).agg(F.count("*").alias("alone"))
+    common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * how.percent / 100))) * how.percent / (100 + how.percent))
+    known = own.join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("meeting", F.col("n") - common + 1)
+    able = stored(known.where("alone < meeting").select("v", "n", "component", "alone", "meeting"), "able")
+    again = sets.join(_bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle")).join(counts.where("docs > 1").select("shingle", "docs"), "shingle")
+    placed = again.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("docs", "shingle"))).join(_bounded(able), "v")
+    head = placed.where(F.col("place") + F.col("alone") <= F.col("meeting"))
+    return stored(head.select("v", "component", (F.col("n") - F.col("alone")).alias("shared"), "shingle"), "heads")
+
+
+def _branched(heads: DataFrame, large: DataFrame, full: DataFrame, how: Join) -> DataFrame:
+    """Pairs ``a, b`` of the documents of large nodes, in nodes by rare shingle: documents of different components whose full sets are similar enough. Of a node's components, the
+    documents outside the largest are each compared with all others. Nodes of over `WIDE` documents are cut into blocks, and each pair of blocks is a node."""
+    mine = heads.join(_bounded(large.select("v").distinct()), "v", "left_semi")
+    met = stored(_mixed(mine.select(F.col("shingle").alias("node"), "v", "component")), "branched")
+    blocks = _blocks(met.where(F.col("size") > WIDE), WIDE).select(*met.columns)
+    rows = met.where(F.col("size") <= WIDE).unionByName(blocks).join(full.withColumnRenamed("id", "v"), "v")
+    kind, percent = rows.schema["v"].dataType.simpleString(), how.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            sets = batch.column("set")
+            values, at = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+            n, group = np.diff(at), batch.column("component").dictionary_encode().indices.to_numpy()
+            left, right = [], []
+            for lo, hi in _spans(batch.column("node").to_numpy()):
+                kinds, counts = np.unique(group[lo:hi], return_counts=True)
+                if len(kinds) == 1:
+                    continue
+                names, codes = np.unique(values[at[lo] : at[hi]], return_inverse=True)
+                mask, begin = np.zeros(len(names), bool), at[lo:hi] - at[lo]
+                for first in (np.flatnonzero(group[lo:hi] != kinds[counts.argmax()]) + lo).tolist():
+                    own = codes[at[first] - at[lo] : at[first + 1] - at[lo]]
+                    mask[own] = True
+                    common = np.add.reduceat(mask[codes].astype(np.int64), begin)
+                    mask[own] = False
+                    others = np.flatnonzero((group[lo:hi] != group[first]) & ((100 + percent) * common >= percent * (n[lo:hi] + n[first]))) + lo
+                    left += [first] * len(others)
+                    right += others.tolist()
+            if left:
+                v = batch.column("v")
+                yield pa.RecordBatch.from_arrays([v.take(pa.array(left)), v.take(pa.array(right))], names=["a", "b"])
+
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("node", "v", "component", "set").repartition(partitions, "node").sortWithinPartitions("node", "v")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with the component of ``v`` so far."""
-    return rows.join(_bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+def _confirmed(pairs: DataFrame, full: DataFrame, how: Join) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    left = full.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+    right = full.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("union"))
+    return compared.where(100 * F.col("common") >= how.percent * F.col("union")).select("a", "b")
 
 
-def _blocks(rows: DataFrame, how: Join) -> DataFrame:
-    """Nodes that are still large at the last level, in an exact way: each is cut into blocks, and each pair of blocks becomes a small node of its own."""
-    half = how.node // 2
-    counts = rows.groupBy("node").agg(F.ceil(F.count("*") / half).alias("blocks"))
-    mine = F.pmod(F.xxhash64("v", F.lit("block")), F.col("blocks"))
-    cut = rows.join(counts, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """Nodes that are still large, in an exact way: each is cut into blocks, and each pair of blocks becomes a small node of its own."""
+    count = F.ceil(F.col("size") / (limit // 2))
+    mine = F.pmod(F.xxhash64("v", F.lit("block")), count)
+    cut = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     return cut.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), *[c for c in rows.columns if c != "node"])
 
 
 def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """Links ``a, b`` among the rows ``v, n, tokens`` of ``sets``, such that components by them are those by all links.
+    """Links ``a, b`` among the rows ``v, n, tokens, sketch`` of ``sets``, such that components by them are those by all links.
 
-    Pairs within a component aren't compared once it is known: first each document meets its node's leader, then documents of different components meet each other.
-    Large nodes are never gathered: their documents meet the node's hub, and if more than one component is left, they branch on.
+    Pairs within a component aren't compared once it is known: first each document meets its node's leader. Nodes that still hold several components are then freed of the
+    documents that can't be linked with another component, having no rare shingle in common with it (`_heads`). In small nodes, documents of different components meet each
+    other. The documents of large nodes, which are never gathered, branch once more, by their rarest shingles, where linked ones are sure to meet; nodes that are large
+    even then are compared by pairs of blocks.
     """
-    rows, found, depth = _first_nodes(sets, how), None, how.depth
-    spark = docs.sparkSession
-    none = spark.createDataFrame([], f"v {sets.schema['v'].dataType.simpleString()}, component {sets.schema['v'].dataType.simpleString()}")
-    all_links = None
-    while True:
-        big = stored(rows.groupBy("node").count().where(F.col("count") > how.node).select("node"), "big")
-        some = depth < how.max_depth and bool(big.take(1))
-        small = rows.join(_bounded(big), "node", "left_anti") if some else rows
-        large = rows.join(_bounded(big), "node", "left_semi") if some else None
-        if depth >= how.max_depth:
-            small = _blocks(rows, how)
-        pairs = _pairs_of(small, how, across=False)
-        new = _confirmed(pairs.union(_stars(large, how)).distinct() if some else pairs, docs, how)
-        all_links = stored(new if all_links is None else all_links.union(new), "links")
-        found = stored(components(all_links), "components") if all_links.take(1) else none
-        new = _confirmed(_pairs_of(_labelled(small, found), how, across=True), docs, how)
-        all_links = stored(all_links.union(new), "links")
-        if not some:
-            return all_links
-        found = stored(components(all_links), "components") if all_links.take(1) else none
-        labelled = _labelled(large, found)
-        mixed_nodes = labelled.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-        rest = large.join(mixed_nodes, "node", "left_semi")
-        chosen = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(j)), F.lit(how.tokens)).cast("int") for j in (0, 1)]
-        keys = F.array(*[F.xxhash64("node", c, F.get("tokens", c)) for c in chosen])
-        rows = stored(rest.select(F.explode(keys).alias("node"), "v", "n", "tokens").distinct(), "nodes")
-        depth += 1
-        if not rows.take(1):
-            return all_links
+    met = stored(_distinct_nodes(_first_nodes(sets, how)).join(sets.select("v", "n", "sketch"), "v"), "met")
+    full = stored(_sets_of(docs, met.select(F.col("v").alias("id")).distinct(), how), "sets")
+    close = stored(_confirmed(_all_stars(met, how), full, how), "links")
+    found = stored(components(close), "components")
+    labelled = met.join(_bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    open_ = stored(_mixed(labelled), "open")
+    heads = _heads(full, open_, how)
+    several = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    touching = heads.join(several, "shingle", "left_semi").select("v", "shared").distinct()
+    able = stored(_mixed(open_.join(touching, "v")), "able")
+    pairs = _across(able.where(F.col("size") <= how.node), how).union(_branched(heads, able.where(F.col("size") > how.node), full, how)).distinct()
+    return stored(close.union(_confirmed(stored(pairs, "pairs"), full, how)), "links")
+
+
+def _distinct_nodes(rows: DataFrame) -> DataFrame:
+    """``node, v, size`` of the nodes with several documents; of nodes with the same documents, one."""
+    each = rows.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("x"), F.sum(F.hash("v").cast("long")).alias("s"), F.min("v").alias("m"))
+    one = each.where("size > 1").groupBy("size", "x", "s", "m").agg(F.min("node").alias("node"))
+    return rows.join(one.select("node", "size"), "node")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of nodes with more than one component, with the nodes' sizes."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return rows.drop("size").join(nodes.select("node", "size"), "node")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Join = Join()) -> DataFrame:
@@ -282,9 +382,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Join = Join(
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     every = stored(_signatures(docs, how), "signatures")
     sets = stored(
-        every.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets"
+        every.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets"
     )
-    linked = links(docs, sets.select("v", "n", "tokens"), how)
+    linked = links(docs, sets.select("v", "n", "tokens", "sketch"), how)
     found = components(linked)
     classes = sets.select("set", "v").join(found, "v", "left").select("set", F.coalesce("component", "v").alias("component"))
     own = every.select("id", "set", "n").join(classes, "set", "left")
