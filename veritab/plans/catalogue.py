@@ -47,7 +47,7 @@ def sql_source(name: str) -> str:
 
 def _level(grade: tuple | str, at_least: bool) -> str:
     if isinstance(grade, str):
-        return f"'{grade}'"
+        return grade if grade.startswith("CASE ") else f"'{grade}'"
     share, op = "n_bad::DOUBLE / n_rows", ">=" if at_least else ">"
     return f"CASE WHEN n_rows = 0 OR {share} {op} {grade[0]} THEN 'critical' WHEN {share} {op} {grade[1]} THEN 'high' WHEN {share} {op} {grade[2]} THEN 'medium' ELSE 'low' END"
 
@@ -65,7 +65,10 @@ def check_sql(source: str, rows: Sequence[tuple], limit: float = 0.0, grade: tup
             f"SELECT '{check}' AS check_name, '{column}' AS column_name, '{issue}' AS issue, n_bad, n_rows, actual, "
             f"CASE WHEN n_bad > 0 AND n_bad > {limit} * n_rows THEN {_level(own, at_least)} END AS severity FROM ({inner}) AS q_"
         )
-    return " UNION ALL ".join(parts)
+    sql = " UNION ALL ".join(parts)
+    for t in SOURCES:
+        sql = sql.replace(f"{{{t}}}", sql_source(t)) if f"{{{t}}}" in sql else sql
+    return sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

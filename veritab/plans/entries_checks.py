@@ -67,6 +67,27 @@ def _entropy(column: str) -> str:
 DIFFS = "(SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1e6 AS gap FROM {source} WHERE ts IS NOT NULL)"
 SERIES = "(SELECT row_number() OVER (ORDER BY ts, value) - 1 AS i, value AS x FROM {source} WHERE ts IS NOT NULL AND value IS NOT NULL)"
 
+def _drifted(check: str, column: str, issue: str, value: str, threshold: float) -> tuple:
+    """A drift row: an issue from the threshold on, high from 1.5 times, critical from twice that."""
+    level = f"CASE WHEN actual >= {2 * threshold} THEN 'critical' WHEN actual >= {1.5 * threshold} THEN 'high' ELSE 'medium' END"
+    return (check, column, issue, f"CASE WHEN {value} >= {threshold} THEN 1 ELSE max(0) END", ONE, value, level)
+
+
+def _change(aggregate: str) -> str:
+    """Percent by which an aggregate of the price differs from the baseline's."""
+    base = f"(SELECT {aggregate} FROM {{baseline}})"
+    return f"(abs({aggregate} - {base}) / abs({base}) * 100)"
+
+
+SHARES = "(SELECT coalesce(a.p, 1e-10) AS p, coalesce(b.p, 1e-10) AS q FROM (SELECT o_orderstatus AS v, count(*)::DOUBLE / (SELECT count(*) FROM {shifted}) AS p FROM {shifted} GROUP BY 1) a FULL JOIN (SELECT o_orderstatus AS v, count(*)::DOUBLE / (SELECT count(*) FROM {baseline}) AS p FROM {baseline} GROUP BY 1) b ON a.v = b.v)"
+DEPTHS = "(WITH RECURSIVE n AS (SELECT id, parent FROM {source}), w AS (SELECT id AS start, id, parent AS up, 0 AS d FROM n UNION ALL SELECT w.start, n.id, n.parent, w.d + 1 FROM w JOIN n ON w.up = n.id WHERE w.d < 70) SELECT start, max(d) AS d FROM w GROUP BY start)"
+CIRCLE = f"(SELECT count(*) FILTER (WHERE d >= 70) FROM {DEPTHS})"
+DEEPEST = f"(SELECT max(d) FILTER (WHERE d < 70) FROM {DEPTHS})"
+KL = f"(SELECT sum(p * ln(p / q)) FROM {SHARES})"
+BINS = "(SELECT count(*) FILTER (WHERE side = 0)::DOUBLE / (SELECT count(*) FROM {shifted}) + 1e-10 AS p, count(*) FILTER (WHERE side = 1)::DOUBLE / (SELECT count(*) FROM {baseline}) + 1e-10 AS q FROM (SELECT side, least(floor((x - lo) / ((hi - lo) / 10)), 9) AS bin FROM (SELECT o_totalprice AS x, 0 AS side FROM {shifted} UNION ALL SELECT o_totalprice, 1 FROM {baseline}), (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM (SELECT o_totalprice FROM {shifted} UNION ALL SELECT o_totalprice FROM {baseline}))) GROUP BY bin)"
+JS = f"(SELECT sum(0.5 * p * ln(2 * p / (p + q)) + 0.5 * q * ln(2 * q / (p + q))) FROM {BINS})"
+KS = "(SELECT max(abs(f - g)) FROM (SELECT sum(a) OVER (ORDER BY x)::DOUBLE / (SELECT count(*) FROM {shifted}) AS f, sum(b) OVER (ORDER BY x)::DOUBLE / (SELECT count(*) FROM {baseline}) AS g FROM (SELECT x, sum(a) AS a, sum(b) AS b FROM (SELECT o_totalprice AS x, 1 AS a, 0 AS b FROM {shifted} UNION ALL SELECT o_totalprice, 0, 1 FROM {baseline}) GROUP BY x)))"
+
 CHECKS = [
     # completeness
     ("null", "people", lambda t: completeness.null("balance"), [("null", "balance", "null", _if("balance IS NULL"))]),
@@ -111,7 +132,7 @@ CHECKS = [
     ("sum_between", "lineitem", lambda t: aggregate.sum_between("l_quantity", 0, 10), [_stat("sum_between", "l_quantity", "sum_out_of_range", "sum(l_quantity)", 0, 10)], MEDIUM),
     ("type", "people", lambda t: aggregate.mixed_type("mixed"), [("type", "mixed", "mixed_type", "least(count(*) FILTER (WHERE mixed = '42'), count(*) FILTER (WHERE mixed <> '42'))")]),
     # distribution
-    ("distribution", "shifted", lambda t: distribution.distribution("o_totalprice", t["baseline"], 0.01), []),
+    ("distribution", "shifted", lambda t: distribution.distribution("o_totalprice", t["baseline"], 0.01), [("distribution", "o_totalprice", "distribution_shift", f"CASE WHEN {JS} > 0.01 THEN 1 ELSE max(0) END", ONE, JS)], MEDIUM),
     ("increasing", "events", lambda t: distribution.increasing("value", ["ts"]), [("increasing", "value", "not_increasing", "(SELECT count(*) FILTER (WHERE value < p) FROM (SELECT value, lag(value) OVER (ORDER BY ts) AS p FROM {source}))")]),
     ("decreasing", "events", lambda t: distribution.decreasing("value", ["ts"], True), [("decreasing", "value", "not_decreasing", "(SELECT count(*) FILTER (WHERE value >= p) FROM (SELECT value, lag(value) OVER (ORDER BY ts) AS p FROM {source}))")]),
     ("outlier", "events", lambda t: distribution.outlier("value"), [("outlier", "value", "outlier", _if(_fence("value", 1.5)), "count(value)")]),
@@ -124,7 +145,7 @@ CHECKS = [
     ("non_negative", "people", lambda t: distribution.non_negative("age"), [("non_negative", "age", "negative", _if("age < 0"), "count(age)")]),
     ("in_set", "people", lambda t: distribution.in_set("segment", ["BUILDING", "MACHINERY"]), [("in_set", "segment", "not_in_set", _if("segment NOT IN ('BUILDING', 'MACHINERY')"), "count(segment)")]),
     ("not_in_set", "people", lambda t: distribution.not_in_set("segment", ["N/A"]), [("not_in_set", "segment", "forbidden_value", _if("segment IN ('N/A')"), "count(segment)")], HIGH),
-    ("kl_divergence", "shifted", lambda t: distribution.kl_divergence("o_orderstatus", t["baseline"], 0.001), []),
+    ("kl_divergence", "shifted", lambda t: distribution.kl_divergence("o_orderstatus", t["baseline"], 0.001), [("kl_divergence", "o_orderstatus", "distribution_divergence", f"CASE WHEN {KL} > 0.001 THEN 1 ELSE max(0) END", ONE, KL, "CASE WHEN actual > 0.003 THEN 'critical' WHEN actual > 0.002 THEN 'high' ELSE 'medium' END")]),
     ("chi_square", "orders", lambda t: distribution.chi_square("o_orderpriority"), [("chi_square", "o_orderpriority", "unexpected_distribution", "CASE WHEN (SELECT sum(pow(n - e, 2) / e) FROM (SELECT count(*) AS n, (SELECT count(*) / 5.0 FROM {source}) AS e FROM {source} GROUP BY o_orderpriority)) > 9.4877 THEN 1 ELSE max(0) END", ONE, "(SELECT sum(pow(n - e, 2) / e) FROM (SELECT count(*) AS n, (SELECT count(*) / 5.0 FROM {source}) AS e FROM {source} GROUP BY o_orderpriority))")], MEDIUM),
     ("most_common_value", "people", lambda t: distribution.most_common_value("segment", ["BUILDING"]), [("most_common_value", "segment", "unexpected_common_value", "CASE WHEN (SELECT segment FROM {source} GROUP BY segment ORDER BY count(*) DESC, segment LIMIT 1) <> 'BUILDING' THEN 1 ELSE max(0) END", ONE)], MEDIUM),
     # string
@@ -148,7 +169,7 @@ CHECKS = [
     ("not_match_regex_list", "people", lambda t: strings.not_match_regex_list(["77", "CUSTOMER#0000001"], "name"), [("not_match_regex_list", "name", "forbidden_pattern", _if("regexp_matches(name, '(?i)77|customer#0000001')"), "count(name)")]),
     # datetime
     ("date_format", "people", lambda t: dates.date_format("day"), [("date_format", "day", "invalid_date_format", _if("try_strptime(day, '%Y-%m-%d') IS NULL"), "count(day)")]),
-    ("recent_data", "events", lambda t: dates.recent_data("ts", 1.0, NOW), []),
+    ("recent_data", "events", lambda t: dates.recent_data("ts", 1.0, NOW), [("recent_data", "ts", "stale_data", f"CASE WHEN date_diff('microsecond', max(ts), {SQL_NOW}) / 3.6e9 > 1 THEN 1 ELSE 0 END", ONE, f"date_diff('microsecond', max(ts), {SQL_NOW}) / 3.6e9", "CASE WHEN actual > 2 THEN 'critical' ELSE 'high' END")]),
     ("date_part_coverage", "events", lambda t: dates.date_part_coverage("ts", "hour"), [("date_part_coverage", "ts", "incomplete_coverage", "CASE WHEN count(DISTINCT date_trunc('hour', ts))::DOUBLE / (date_diff('hour', min(ts), max(ts)) + 1) < 1 THEN 1 ELSE 0 END", ONE, "count(DISTINCT date_trunc('hour', ts))::DOUBLE / (date_diff('hour', min(ts), max(ts)) + 1)")], MEDIUM),
     ("grouped_recent_data", "events", lambda t: dates.grouped_recent_data("ts", "user_id", 24.0, datetime(2024, 1, 30)), [("grouped_recent_data", "user_id", "stale_group", "(SELECT count(*) FILTER (WHERE m IS NULL OR m < TIMESTAMP '2024-01-29') FROM (SELECT max(ts) AS m FROM {source} GROUP BY user_id))", "count(DISTINCT user_id)")]),
     ("date_order", "orders", lambda t: sdk.composite("date_order_pair", [dates.date_order("o_orderdate", "o_orderdate", False)]), [("date_order_pair", "o_orderdate,o_orderdate", "invalid_date_order", "count(o_orderdate)")]),
@@ -156,7 +177,7 @@ CHECKS = [
     ("date_between", "orders", lambda t: dates.date_between("o_orderdate", "1995-01-01", "1998-01-01"), [("date_between", "o_orderdate", "date_out_of_range", _if("o_orderdate::DATE < DATE '1995-01-01' OR o_orderdate::DATE > DATE '1998-01-01'"), "count(o_orderdate)")]),
     ("future_date", "events", lambda t: dates.future_date("ts", datetime(2024, 1, 10)), [("future_date", "ts", "future_date", _if("ts::DATE > DATE '2024-01-10'"), "count(ts)")]),
     ("past_date", "orders", lambda t: dates.past_date("o_orderdate", "1996-01-01"), [("past_date", "o_orderdate", "date_too_old", _if("o_orderdate::DATE < DATE '1996-01-01'"), "count(o_orderdate)")]),
-    ("timezone", "events", lambda t: dates.timezone("ts", "Asia/Seoul"), []),
+    ("timezone", "events", lambda t: dates.timezone("ts", "Asia/Seoul"), [("timezone", "ts", "missing_timezone", "max(1)", ONE)], MEDIUM),
     # schema and table
     ("column_count", "nation", lambda t: schemas.column_count(exact_count=4), [("column_count", "*", "column_count", "max(1)", ONE)], HIGH),
     ("row_count", "nation", lambda t: schemas.row_count(30), [_stat("row_count", "*", "row_count", "count(*)", 30)], HIGH),
@@ -241,9 +262,9 @@ CHECKS = [
     ("dangling_reference", "customer", lambda t: referential.dangling_reference(t["children"], ["customer"], ["c_custkey"], 0.0001), [("dangling_reference", "c_custkey", "dangling_reference", _if("c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 <> 0 AND o_orderkey % 31 <> 0)"))], {"limit": 0.0001, "grade": "low"}),
     ("circular_reference", "nation", lambda t: referential.circular_reference([referential.Relation("a", ("x",), "b", ("y",)), referential.Relation("b", ("x",), "a", ("y",))]), [("circular_reference", "a,b", "circular_reference", "max(1)", ONE)], HIGH),
     ("cascade_depth", "nation", lambda t: referential.cascade_depth([referential.Relation("lineitem", ("x",), "orders", ("y",)), referential.Relation("orders", ("x",), "customer", ("y",))], 1), [("cascade_depth", "lineitem", "cascade_too_deep", "max(1)", ONE)], MEDIUM),
-    ("hierarchy_circular", "tree", lambda t: referential.hierarchy_circular("id", "parent"), []),
-    ("optimized_hierarchy_circular", "tree", lambda t: referential.hierarchy_circular("id", "parent", 1000, "optimized_hierarchy_circular"), []),
-    ("hierarchy_depth", "tree", lambda t: referential.hierarchy_depth("id", "parent", 5), []),
+    ("hierarchy_circular", "tree", lambda t: referential.hierarchy_circular("id", "parent"), [("hierarchy_circular", "parent", "circular_hierarchy", CIRCLE, "count(*)", DEEPEST)], HIGH),
+    ("optimized_hierarchy_circular", "tree", lambda t: referential.hierarchy_circular("id", "parent", 1000, "optimized_hierarchy_circular"), [("optimized_hierarchy_circular", "parent", "circular_hierarchy", CIRCLE, "count(*)", DEEPEST)], HIGH),
+    ("hierarchy_depth", "tree", lambda t: referential.hierarchy_depth("id", "parent", 5), [("hierarchy_depth", "parent", "hierarchy_too_deep", f"(SELECT count(*) FILTER (WHERE d > 5) FROM {DEPTHS})", "count(*)", DEEPEST)], HIGH),
     # anomaly
     ("iqr_anomaly", "events", lambda t: anomaly.iqr_anomaly("value", 1.5, 0.01), [("iqr_anomaly", "value", "anomaly", _if(_fence("value", 1.5)))], {"limit": 0.01} | TEN),
     ("tukey_fences", "events", lambda t: anomaly.tukey_fences("value", max_anomaly_ratio=0.01), [("tukey_fences", "value", "mild_outlier", _if(_fence("value", 1.5) + " AND NOT " + _fence("value", 3.0))), ("tukey_fences", "value", "extreme_outlier", _if(_fence("value", 3.0)))], {"limit": 0.01} | TEN),
@@ -256,11 +277,11 @@ CHECKS = [
     ("elliptic_envelope", "lineitem", lambda t: anomaly.elliptic_envelope(["l_quantity", "l_extendedprice"]), []),
     ("pca_anomaly", "lineitem", lambda t: anomaly.pca_anomaly(["l_quantity", "l_extendedprice", "l_discount"], 2), []),
     # drift
-    ("mean_drift", "shifted", lambda t: drift.mean_drift("o_totalprice", t["baseline"]), []),
-    ("variance_drift", "shifted", lambda t: drift.variance_drift("o_totalprice", t["baseline"], 10.0), []),
-    ("quantile_drift", "shifted", lambda t: drift.quantile_drift("o_totalprice", t["baseline"]), []),
-    ("range_drift", "shifted", lambda t: drift.range_drift("o_totalprice", t["baseline"]), []),
-    ("streaming_ks_test", "shifted", lambda t: drift.ks_test("o_totalprice", t["baseline"], name="streaming_ks_test"), []),
+    ("mean_drift", "shifted", lambda t: drift.mean_drift("o_totalprice", t["baseline"]), [_drifted("mean_drift", "o_totalprice", "mean_drift", _change("avg(o_totalprice)"), 10.0)]),
+    ("variance_drift", "shifted", lambda t: drift.variance_drift("o_totalprice", t["baseline"], 10.0), [_drifted("variance_drift", "o_totalprice", "variance_drift", _change("stddev_samp(o_totalprice)"), 10.0)]),
+    ("quantile_drift", "shifted", lambda t: drift.quantile_drift("o_totalprice", t["baseline"]), [_drifted("quantile_drift", "o_totalprice", f"quantile_{p}_drift", _change(f"quantile_cont(o_totalprice, {p})"), 15.0) for p in (0.25, 0.5, 0.75)]),
+    ("range_drift", "shifted", lambda t: drift.range_drift("o_totalprice", t["baseline"]), [_drifted("range_drift", "o_totalprice", f"{e}_drift", _change(f"{e}(o_totalprice)"), 10.0) for e in ("min", "max")]),
+    ("streaming_ks_test", "shifted", lambda t: drift.ks_test("o_totalprice", t["baseline"], statistic_threshold=0.03, name="streaming_ks_test"), [("streaming_ks_test", "o_totalprice", "distribution_drift", f"CASE WHEN {KS} > 0.03 THEN 1 ELSE max(0) END", ONE, KS)], HIGH),
     ("chi_square_drift", "shifted", lambda t: drift.chi_square_drift("o_orderstatus", t["baseline"]), []),
     ("feature_drift", "shifted", lambda t: drift.feature_drift(["o_totalprice", "o_orderstatus"], t["baseline"], categorical_columns=["o_orderstatus"]), []),
     # profiling
