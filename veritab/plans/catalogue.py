@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from .checks import DUPLICATES, RANGES, STRICT, USUAL, Check, run
-from .entries_checks import CHECKS
+from .entries_checks import CHECKS, FLAGSHIP
 from .entries_tables import TABLES
 from .sources_sql import SOURCES, TEST_TABLES
 
@@ -105,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
             for t in SOURCES:
                 sql = sql.replace(f"{{{t}}}", sql_source(t))
             out[name] = sql
+    out["flagship_suite"] = check_sql("lineitem", FLAGSHIP)
     return out
 
 

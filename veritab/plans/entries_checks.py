@@ -88,6 +88,17 @@ BINS = "(SELECT count(*) FILTER (WHERE side = 0)::DOUBLE / (SELECT count(*) FROM
 JS = f"(SELECT sum(0.5 * p * ln(2 * p / (p + q)) + 0.5 * q * ln(2 * q / (p + q))) FROM {BINS})"
 KS = "(SELECT max(abs(f - g)) FROM (SELECT sum(a) OVER (ORDER BY x)::DOUBLE / (SELECT count(*) FROM {shifted}) AS f, sum(b) OVER (ORDER BY x)::DOUBLE / (SELECT count(*) FROM {baseline}) AS g FROM (SELECT x, sum(a) AS a, sum(b) AS b FROM (SELECT o_totalprice AS x, 1 AS a, 0 AS b FROM {shifted} UNION ALL SELECT o_totalprice, 0, 1 FROM {baseline}) GROUP BY x)))"
 
+CHI2 = "(SELECT sum(pow(a - e, 2) / e) FROM (SELECT n AS a, q * (SELECT count(*) FROM {shifted}) AS e FROM (SELECT o_orderstatus AS v, count(*) AS n FROM {shifted} GROUP BY 1) JOIN (SELECT o_orderstatus AS v, count(*)::DOUBLE / (SELECT count(*) FROM {baseline}) AS q FROM {baseline} GROUP BY 1) USING (v)))"
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+FLAGSHIP = [
+    *[("null", c, "null", _if(f"{c} IS NULL")) for c in LINEITEM],
+    *[("not_null", c, "not_null_violation", _if(f"{c} IS NULL"), "count(*)", "NULL", STRICT) for c in LINEITEM],
+    ("between", "l_discount", "out_of_range", _if("l_discount < 0 OR l_discount > 0.1"), "count(l_discount)", "NULL", RANGES),
+    ("positive", "l_quantity", "not_positive", _if("l_quantity <= 0"), "count(l_quantity)"),
+    ("compound_key", "l_orderkey,l_linenumber", "compound_key_duplicate", "(SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM {source} GROUP BY l_orderkey, l_linenumber))", "count(*)", "NULL", "critical"),
+    ("compound_key", "l_orderkey,l_linenumber", "compound_key_null", _if("l_orderkey IS NULL OR l_linenumber IS NULL"), "count(*)", "NULL", "critical"),
+]
+
 CHECKS = [
     # completeness
     ("null", "people", lambda t: completeness.null("balance"), [("null", "balance", "null", _if("balance IS NULL"))]),
@@ -282,7 +293,7 @@ CHECKS = [
     ("quantile_drift", "shifted", lambda t: drift.quantile_drift("o_totalprice", t["baseline"]), [_drifted("quantile_drift", "o_totalprice", f"quantile_{p}_drift", _change(f"quantile_cont(o_totalprice, {p})"), 15.0) for p in (0.25, 0.5, 0.75)]),
     ("range_drift", "shifted", lambda t: drift.range_drift("o_totalprice", t["baseline"]), [_drifted("range_drift", "o_totalprice", f"{e}_drift", _change(f"{e}(o_totalprice)"), 10.0) for e in ("min", "max")]),
     ("streaming_ks_test", "shifted", lambda t: drift.ks_test("o_totalprice", t["baseline"], statistic_threshold=0.03, name="streaming_ks_test"), [("streaming_ks_test", "o_totalprice", "distribution_drift", f"CASE WHEN {KS} > 0.03 THEN 1 ELSE max(0) END", ONE, KS)], HIGH),
-    ("chi_square_drift", "shifted", lambda t: drift.chi_square_drift("o_orderstatus", t["baseline"]), []),
+    ("chi_square_drift", "shifted", lambda t: drift.chi_square_drift("o_orderstatus", t["baseline"]), [("chi_square_drift", "o_orderstatus", "category_drift", f"CASE WHEN {CHI2} > 5.9915 THEN 1 ELSE max(0) END", ONE, CHI2)], HIGH),
     ("feature_drift", "shifted", lambda t: drift.feature_drift(["o_totalprice", "o_orderstatus"], t["baseline"], categorical_columns=["o_orderstatus"]), []),
     # profiling
     ("cardinality", "orders", lambda t: profiling.cardinality("o_custkey", 0.5), [_stat("cardinality", "o_custkey", "cardinality_ratio", "count(DISTINCT o_custkey)::DOUBLE / count(*)", 0.5, 1.0)], MEDIUM),

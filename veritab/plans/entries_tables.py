@@ -34,6 +34,9 @@ TOTALS = "count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 8) AS
 KM = "2 * 6371.0 * asin(sqrt(least(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2), 1.0)))"
 
 
+MUTUAL = "WITH m AS (SELECT min(l_quantity) AS a0, max(l_quantity) AS a1, min(l_extendedprice) AS b0, max(l_extendedprice) AS b1, count(*) AS n FROM lineitem), j AS (SELECT least(floor((l_quantity - a0) / ((a1 - a0) / 10)), 9) AS x, least(floor((l_extendedprice - b0) / ((b1 - b0) / 10)), 9) AS y, count(*)::DOUBLE / max(n) AS p FROM lineitem, m GROUP BY 1, 2) SELECT round(sum(p * ln(p / (px * py))), 4) AS mi FROM j JOIN (SELECT x, sum(p) AS px FROM j GROUP BY x) USING (x) JOIN (SELECT y, sum(p) AS py FROM j GROUP BY y) USING (y)"
+
+
 def _points(t) -> DataFrame:
     return t["places"].where("id % 100 > 1")
 
@@ -135,7 +138,7 @@ TABLES = [
     ("destination_point", lambda t: _points(t).select("id", geo.destination(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(100.0)).alias("d")).select("id", F.round("d.lat", 3).alias("lat")), "SELECT id, round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0) + cos(radians(lat)) * sin(100 / 6371.0) * cos(radians(45.0)))), 3) AS lat FROM {places} WHERE id % 100 > 1"),
     # profiling
     ("pattern_analyzer", lambda t: _r(profile.patterns(t["people"].select("email", "day", "uuid", "ip_address"))), "SELECT 'email' AS column_name, 'email' AS pattern, round(count(*) FILTER (WHERE email LIKE '%@%')::DOUBLE / count(*), 4) AS share FROM {people} UNION ALL SELECT 'day', 'date', 1.0 UNION ALL SELECT 'day', 'code', 1.0 FROM {people} WHERE id = 1 UNION ALL SELECT 'ip_address', 'ipv4', round(count(*) FILTER (WHERE ip_address NOT LIKE '%.256')::DOUBLE / count(*), 4) FROM {people}"),
-    ("cardinality_types", lambda t: profile.semantic_types(t["orders"]), ""),
+    ("cardinality_types", lambda t: profile.semantic_types(t["orders"]), " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN count(DISTINCT {c})::DOUBLE / count({c}) >= 0.95 THEN 'identifier' WHEN count(DISTINCT {c})::DOUBLE / count({c}) <= 0.05 THEN 'categorical' ELSE 'plain' END AS semantic FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))),
     ("top_values", lambda t: _r(profiling.top_values(t["people"], "segment", 3)), "SELECT segment, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM {people}), 4) AS p FROM {people} GROUP BY 1 ORDER BY n DESC, segment LIMIT 3"),
     ("duplicate_row_analyzer", lambda t: profile.duplicate_rows(t["lineitem"].select("l_orderkey", "l_linenumber")), "SELECT count(*)::BIGINT AS n_rows, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)))::BIGINT AS n_duplicate FROM lineitem"),
     ("correlation_analyzer", lambda t: _r(profile.correlations(t["lineitem"].select("l_quantity", "l_extendedprice"), 0.0)), "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem"),
@@ -143,7 +146,7 @@ TABLES = [
     ("functional_dependencies", lambda t: _r(profile.functional_dependencies(t["lineitem"], [("l_partkey", "l_returnflag"), ("l_orderkey", "l_orderkey")], 0.0)), "SELECT 'l_partkey' AS determinant, 'l_returnflag' AS dependent, round(avg((k = 1)::INT), 4) AS confidence FROM (SELECT count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY l_partkey) UNION ALL SELECT 'l_orderkey', 'l_orderkey', 1.0"),
     ("conditional_rules", lambda t: _r(profile.conditional_rules(t["lineitem"], "l_returnflag", "l_linestatus", 10, 0.4)), "SELECT l_returnflag AS if_value, l_linestatus AS then_value, n AS support, round(n::DOUBLE / t, 4) AS confidence FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) JOIN (SELECT l_returnflag, count(*) AS t FROM lineitem GROUP BY 1) USING (l_returnflag) WHERE n >= 10 AND n::DOUBLE / t >= 0.4"),
     ("count_min_sketch_top", lambda t: t["orders"].groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(10), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10"),
-    ("mutual_information", lambda t: _r(ml_feature.mutual_information(t["lineitem"], "l_quantity", "l_extendedprice")), ""),
+    ("mutual_information", lambda t: _r(ml_feature.mutual_information(t["lineitem"], "l_quantity", "l_extendedprice")), MUTUAL),
     ("hyperloglog_merge", lambda t: t["orders"].groupBy("o_orderstatus").agg(F.hll_sketch_agg("o_orderpriority", 12).alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n")), "SELECT count(DISTINCT o_orderpriority) AS n FROM orders"),
     # streams, over a batch
     ("tumbling_window", lambda t: _r(windows.tumbling(t["events"], "ts", "1 hour", WINDOW_SPEC), 8), f"SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, {TOTALS} FROM events GROUP BY 1, 2"),
