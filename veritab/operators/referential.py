@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import Check, count_if, graded, literal_rows, rows
+from ..plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -168,14 +169,14 @@ def cascade_depth(relations: Sequence[Relation], max_depth: int = 5) -> Check:
 
 def ancestors(df: DataFrame, id_column: str, parent_column: str, max_depth: int) -> DataFrame:
     """``id, depth`` of each node: its number of ancestors, -1 if they run in a circle or are more than ``max_depth``. By pointer doubling: each round doubles the distance
-    that is known, so rounds follow the logarithm of ``max_depth``; each is persisted, since the next one reads it twice. A parent that isn't a node ends the way, as a null one does."""
+    that is known, so rounds follow the logarithm of ``max_depth``; each is checkpointed, since the next one reads it twice. A parent that isn't a node ends the way, as a null one does."""
     nodes = df.select(F.col(id_column).cast("string").alias("id"), F.col(parent_column).cast("string").alias("up")).where("id is not null").dropDuplicates(["id"])
     known = nodes.select(F.col("id").alias("k"))
     walk = nodes.join(known, nodes["up"] == known["k"], "left").select("id", F.col("k").alias("up"), F.when(F.col("k").isNotNull(), 1).otherwise(0).cast("long").alias("depth"))
     reach = 1
     while reach <= max_depth:
         far = walk.select(F.col("id").alias("k"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        walk = walk.join(far, walk["up"] == far["k"], "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).persist()
+        walk = cut(walk.join(far, walk["up"] == far["k"], "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
         reach *= 2
     return walk.select("id", F.when(F.col("up").isNotNull() | (F.col("depth") > max_depth), -1).otherwise(F.col("depth")).alias("depth"))
 
