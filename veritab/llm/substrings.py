@@ -24,6 +24,8 @@ MAP_BYTES = 12 << 20
 SPLIT = 4
 #: In the count of hot minimisers, what a slice holds fewer times than this isn't sent; so one may be missed only if no slice holds that many.
 LEAST = 8
+#: A minimiser with no more distinct strings than this isn't hot: a few megabytes, which any worker can hold.
+HARMLESS = 20_000
 
 
 @dataclass
@@ -81,7 +83,7 @@ class Slice:
 
 
 def _heavy(texts: DataFrame, k: int, spark: SparkSession) -> np.ndarray:
-    """Minimisers with more distinct strings than a quarter of what a shuffle partition holds on average: fewer than four for each partition, by their definition."""
+    """Minimisers with more distinct strings than `HARMLESS`, and than a quarter of what a shuffle partition holds on average: so fewer than four for each partition."""
     empty = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,7 @@ def _heavy(texts: DataFrame, k: int, spark: SparkSession) -> np.ndarray:
 
     counts = stored(texts.mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")), "minimisers")
     total = counts.where("minimiser is null").agg(F.sum("n")).first()[0] or 0
-    limit = max(LEAST, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    limit = max(HARMLESS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = counts.where(F.col("minimiser").isNotNull() & (F.col("n") > limit)).select("minimiser").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
