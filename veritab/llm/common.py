@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,15 @@ def row_key(id_col: str, text_col: str) -> Column:
     )
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns what the C library's heap holds free to the system, where it can; workers live on between tasks."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of the batches that hold about ``max_bytes`` of ``column`` each, one row at least. Arrow's memory comes from the system, so what is freed goes back."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -68,6 +78,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLIC
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+            give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import full_windows, hash_words, mixed, sliced, split_words, stored, window_hashes
+from .common import full_windows, give_back, hash_words, mixed, sliced, split_words, stored, window_hashes
 from .components import components
 
 #: A side of a join with more rows than this is not broadcast.
@@ -133,6 +133,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by ``node``, cut and joined so that no node is in two of them."""
+    pa.set_memory_pool(pa.system_memory_pool())
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -142,6 +143,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield pa.concat_batches([*rest, batch.slice(0, last)])
             rest = []
+            give_back()
         elif rest and rest[0].column("node")[0].as_py() != int(node[0]):
             yield pa.concat_batches(rest)
             rest = []

@@ -19,7 +19,7 @@ from .common import covered, full_windows, hash_words, mixed, sliced, split_word
 #: Words in a minimiser.
 MINIMISER = 4
 #: A super-k-mer's table is built from slices of so many bytes; equal strings of a slice travel once.
-MAP_BYTES = 12 << 20
+MAP_BYTES = 8 << 20
 #: Buckets for each shuffle partition; a worker holds one bucket at a time.
 SPLIT = 4
 #: In the count of hot minimisers, what a slice holds fewer times than this isn't sent; so one may be missed only if no slice holds that many.
