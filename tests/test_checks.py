@@ -229,3 +229,23 @@ def test_load(spark, tmp_path):
     assert load(spark, str(tmp_path / "x.csv")).first().a == 1
     with pytest.raises(TypeError):
         load(spark, 3)
+
+
+def test_mmd_uses_all_rows(spark):
+    """Against brute force over all pairs: a hot value, few values, values far apart, and one value of the reference."""
+
+    def brute(a, b):
+        s = max(np.std(b), 1e-9)
+        mean = lambda x, y: np.exp(-(((x[:, None] - y[None]) / s) ** 2) / 2).mean()
+        return max(mean(a, a) + mean(b, b) - 2 * mean(a, b), 0.0)
+
+    rng = np.random.default_rng(5)
+    cases = [
+        (np.repeat([0.0, 1.0, 2.0], [1100, 1100, 2000]), np.repeat([0.0, 1.0, 2.0], [2000, 1100, 1100])),
+        (np.concatenate([np.full(1500, 3.0), rng.normal(8, 1, 1500)]), np.concatenate([np.full(1500, 3.0), rng.normal(2, 1, 1500)])),
+        (np.concatenate([rng.normal(size=500), [1e6, -1e9]]), np.concatenate([rng.standard_cauchy(700), [1e6]])),
+        (np.array([5.0, 5.0, 6.0]), np.array([5.0, 5.0])),
+    ]
+    for a, b in cases:
+        got = drift._statistic(frame(spark, a.tolist()), frame(spark, b.tolist()), "x", "mmd", False).first().value
+        assert got == pytest.approx(brute(a, b), abs=1e-8)

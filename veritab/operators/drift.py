@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+from numpy.polynomial.hermite_e import herme2poly
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,25 +253,37 @@ def _statistic(df: DataFrame, reference: DataFrame, column: str, method: str, ca
     raise ValueError(f"no drift method {method}")
 
 
-#: Rows of each table that the kernel statistic compares, the first in the order of a hash; all other methods use all rows.
-MMD_ROWS = 1000
+#: Width of a cell of values, in standard deviations of the reference; moments kept of each cell; cells that a cell meets on either side (beyond, the kernel is below 1e-17).
+MMD_WIDTH, MMD_MOMENTS, MMD_REACH = 0.25, 12, 36
 
 
 def _mmd(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
-    """Maximum mean discrepancy under a Gaussian kernel as wide as the reference's standard deviation, between bounded samples."""
+    """Maximum mean discrepancy under a Gaussian kernel as wide as the reference's standard deviation, over all rows and all pairs (a row with itself among them).
 
-    def sample(t: DataFrame, name: str) -> DataFrame:
-        return t.select(F.col(column).cast("double").alias(name)).where(F.col(name).isNotNull()).orderBy(F.xxhash64(name), name).limit(MMD_ROWS)
-
-    scale = reference.agg(F.greatest(F.stddev_pop(column), F.lit(1e-9)).alias("s"))
-
-    def mean(x: DataFrame, y: DataFrame, out: str) -> DataFrame:
-        pairs = x.toDF("x").crossJoin(F.broadcast(y.toDF("y"))).crossJoin(F.broadcast(scale))  # bounded samples
-        return pairs.agg(F.avg(F.exp(-F.pow((F.col("x") - F.col("y")) / F.col("s"), F.lit(2)) / 2)).alias(out))
+    A fast Gauss transform: one aggregation gives each cell the moments of its values' offsets, and cells within reach meet by the Taylor series of the kernel about the distance
+    of their centres. Its error is below 1e-9; the work follows the rows and the cells that have any.
+    """
 
-    a, b = sample(df, "x"), sample(reference, "y")
-    all_three = mean(a, a, "aa").crossJoin(mean(b, b, "bb")).crossJoin(mean(a, b, "ab"))
-    return all_three.select(F.greatest(F.col("aa") + F.col("bb") - 2 * F.col("ab"), F.lit(0.0)).alias("value"), F.lit(None).cast("double").alias("p"))
+    def values(t: DataFrame) -> DataFrame:
+        return t.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+
+    one = values(reference).agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(1e-9)).alias("s"), rows().alias("nb")).crossJoin(values(df).agg(rows().alias("na")))
+    both = values(df).withColumn("side", F.lit(0)).union(values(reference).withColumn("side", F.lit(1))).crossJoin(F.broadcast(one))
+    z = (F.col("x") - F.col("mean")) / F.col("s")
+    share = F.when(F.col("side") == 0, F.try_divide(F.lit(1.0), F.col("na"))).otherwise(F.try_divide(F.lit(-1.0), F.col("nb")))
+    dealt = both.select(z.alias("z"), F.rint(z / MMD_WIDTH).alias("cell"), share.alias("m0")).withColumn("e", F.col("z") - F.col("cell") * MMD_WIDTH)
+    for k in range(1, MMD_MOMENTS):
+        dealt = dealt.withColumn(f"m{k}", F.col(f"m{k - 1}") * F.col("e") / k)
+    cells = dealt.groupBy("cell").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(MMD_MOMENTS)])
+    # beyond 2^53 cells added numbers are rounded to the same cell, which is met once
+    near = cells.withColumn("other", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-MMD_REACH), F.lit(MMD_REACH)), lambda i: F.col("cell") + i))))
+    far = cells.select(F.col("cell").alias("other"), *[F.col(f"m{k}").alias(f"w{k}") for k in range(MMD_MOMENTS)])
+    d = (F.col("cell") - F.col("other")) * MMD_WIDTH
+    total = F.lit(0.0)
+    for j in range(MMD_MOMENTS):
+        hermite = reduce(lambda acc, c: acc * d + float(c), reversed(herme2poly([0.0] * j + [1.0])), F.lit(0.0))
+        total = total + (-1) ** j * hermite * reduce(lambda x, y: x + y, [(-1) ** (j - k) * F.col(f"m{k}") * F.col(f"w{j - k}") for k in range(j + 1)])
+    return near.join(far, "other").agg(F.sum(F.exp(-d * d / 2) * total).alias("value")).select(F.greatest("value", F.lit(0.0)).alias("value"), F.lit(None).cast("double").alias("p"))
 
 
 # Thresholds of the methods; those of tests are p-values, below which there is drift.
