@@ -249,3 +249,22 @@ def test_mmd_uses_all_rows(spark):
     for a, b in cases:
         got = drift._statistic(frame(spark, a.tolist()), frame(spark, b.tolist()), "x", "mmd", False).first().value
         assert got == pytest.approx(brute(a, b), abs=1e-8)
+
+
+def test_local_outlier_factor_among_all_rows(spark, monkeypatch):
+    """A small cluster far from 2,400 other rows, copies of one row and a lone row, against brute force; several blocks."""
+    monkeypatch.setattr(detectors, "BLOCK_ROWS", 700, raising=False)
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(size=(2400, 3)), rng.normal(30, 0.1, (12, 3)), np.full((40, 3), 9.0), [[60.0, 0.0, 0.0]]]).astype(np.float32).astype(float)
+    k = 5
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    own = np.take_along_axis(d, near, 1)
+    density = 1 / np.maximum(np.maximum(own, own[:, -1][near]).mean(1), 1e-12)
+    wanted = density[near].mean(1) / density
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, v array<float>")
+    got = {r.id: r.lof for r in detectors.local_outlier_factor(df, "id", "v", k).collect()}
+    assert len(got) == len(points)
+    assert np.array([got[i] for i in range(len(points))]) == pytest.approx(wanted, rel=1e-5, abs=1e-5)
+    assert max(got[i] for i in range(2400, 2412)) < 3 < got[2452]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.checks import rows
+from ..plans.lineage import cut
 
 
 @dataclass
@@ -209,39 +210,57 @@ def correlation_drift(before: DataFrame, after: DataFrame, columns: Sequence[str
     return both.select((reduce(lambda x, y: x + y, [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(pairs))]) / len(pairs)).alias("drift"))
 
 
-#: Rows among which neighbours are sought, the first in the order of a hash of their ids; the neighbours' reach is estimated on them, for all rows.
-REFERENCE_ROWS = 2000
+#: Rows of a block, about: all pairs of rows of two blocks are compared at once.
+BLOCK_ROWS = 4096
 
 
-def local_outlier_factor(df: DataFrame, id_column: str, vector_column: str, k: int = 10) -> DataFrame:
-    """``id, lof`` of every row against a bounded reference sample, which is broadcast; about 1 inside clusters, higher outside."""
-    reference = df.where(F.col(vector_column).isNotNull()).orderBy(F.xxhash64(id_column), id_column).limit(REFERENCE_ROWS).select(id_column, vector_column).collect()
-    names = np.array([r[0] for r in reference])
-    points = np.array([list(r[1]) for r in reference], float)
-    if len(points) <= k:
-        return df.select(id_column, F.lit(1.0).alias("lof"))
-
-    def distances(a: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * a @ points.T, 0))
-
-    own = distances(points)
-    np.fill_diagonal(own, np.inf)
-    near = np.argsort(own, axis=1, kind="stable")[:, :k]
-    reach = np.take_along_axis(own, near, 1)[:, -1]
-    density = 1 / np.maximum(np.maximum(np.take_along_axis(own, near, 1), reach[near]).mean(1), 1e-12)
+def nearest_rows(df: DataFrame, id_column: str, vector_column: str, k: int) -> DataFrame:
+    """``id, near``: the ``k`` nearest other rows of each row as (distance, id), nearest first, ties by id. Exact: blocks of rows dealt by a hash of the id meet all blocks, the ``k``
+    nearest of each block are kept, and those of all blocks are merged. The pairs grow as the square of the rows, what is kept as the rows times the blocks."""
     kind = dict(df.dtypes)[id_column]
+    clean = df.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
+    blocks = max(1, math.ceil(clean.count() / BLOCK_ROWS))
+    dealt = clean.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    packed = cut(dealt.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")).repartition(max(min(blocks, 16), math.ceil(blocks / 4))))  # at most about 16 pairs a task
+    pairs = packed.select(F.col("ids").alias("a"), F.col("flat").alias("x")).crossJoin(packed.select(F.col("ids").alias("b"), F.col("flat").alias("y")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            d = distances(np.array(pdf[vector_column].tolist(), float))
-            d[pdf[id_column].to_numpy()[:, None] == names[None]] = np.inf
-            hit = np.argsort(d, axis=1, kind="stable")[:, :k]
-            mine = 1 / np.maximum(np.maximum(np.take_along_axis(d, hit, 1), reach[hit]).mean(1), 1e-12)
-            yield pd.DataFrame({id_column: pdf[id_column], "lof": np.round(density[hit].mean(1) / mine, 6)})
-
-    return df.where(F.col(vector_column).isNotNull()).select(id_column, vector_column).mapInPandas(run, f"{id_column} {kind}, lof double")
+            for a, x, b, y in zip(pdf["a"], pdf["x"], pdf["b"], pdf["y"], strict=True):
+                left, right = np.reshape(x, (len(a), -1)), np.reshape(y, (len(b), -1))
+                lengths, take = (right**2).sum(1), min(k + 9, len(b))  # spare ones, as this distance is rounded
+                wide = math.ceil(len(b) / 16)  # column j, j + wide, ... are a group; the nearest rows are in the groups of the least minima
+                for i in range(0, len(a), 512):
+                    own = left[i : i + 512]
+                    rough = np.full((len(own), 16 * wide), np.inf)
+                    rough[:, : len(b)] = (own**2).sum(1)[:, None] + lengths[None] - 2 * own @ right.T
+                    rough[:, : len(b)][a[i : i + 512, None] == b[None]] = np.inf
+                    best = np.argpartition(rough.reshape(len(own), 16, wide).min(1), min(take, wide) - 1, axis=1)[:, : min(take, wide)]
+                    among = (best[:, None] + wide * np.arange(16)[None, :, None]).reshape(len(own), -1)
+                    values = np.take_along_axis(rough, among, 1)
+                    part = np.argpartition(values, take - 1, axis=1)[:, :take]
+                    hit, finite = np.take_along_axis(among, part, 1), np.isfinite(np.take_along_axis(values, part, 1))
+                    hit = np.where(finite, hit, 0)
+                    exact = np.where(finite, np.sqrt(((own[:, None] - right[hit]) ** 2).sum(2)), np.inf)
+                    order = np.lexsort((hit, exact))[:, :k]
+                    d, o = np.take_along_axis(exact, order, 1), b[np.take_along_axis(hit, order, 1)]
+                    yield pd.DataFrame({"id": a[i : i + 512], "d": list(d), "o": list(o)})
+
+    met = pairs.mapInPandas(meet, f"id {kind}, d array<double>, o array<{kind}>").select("id", F.filter(F.arrays_zip("d", "o"), lambda n: n["d"] < math.inf).alias("near"))
+    return met.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def local_outlier_factor(df: DataFrame, id_column: str, vector_column: str, k: int = 10) -> DataFrame:
+    """``id, lof`` of every row among all rows; about 1 inside clusters, higher outside."""
+    if df.where(F.col(vector_column).isNotNull()).limit(k + 1).count() <= k:
+        return df.select(id_column, F.lit(1.0).alias("lof"))
+    near = cut(nearest_rows(df, id_column, vector_column, k))
+    links = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.d").alias("d"), F.col("n.o").alias("o"))
+    reach = near.select(F.col("id").alias("o"), F.element_at("near", -1)["d"].alias("reach"))
+    density = links.join(reach, "o").groupBy("id").agg((1 / F.greatest(F.avg(F.greatest("d", "reach")), F.lit(1e-12))).alias("density"))
+    density = cut(density)
+    theirs = links.join(density.select(F.col("id").alias("o"), F.col("density").alias("other")), "o").groupBy("id").agg(F.avg("other").alias("other"))
+    return theirs.join(density, "id").select(F.col("id").alias(id_column), F.round(F.col("other") / F.col("density"), 6).alias("lof"))
 
 
 def neighbours(df: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 5, planes: int = 8, tables: int = 6, seed: int = 42) -> DataFrame:
