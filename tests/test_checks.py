@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab import issues, learn, load, mask, profile, run, scan, suite
-from veritab.functions import checksums, statistics
+from veritab.functions import checksums, geo, statistics
 from veritab.ml import detectors
 from veritab.operators import aggregate, anomaly, completeness, dates, distribution, drift, geospatial, multi_column, privacy, profiling, queries, referential, schemas, strings, timeseries, uniqueness
 from veritab.plans import sdk
@@ -268,3 +268,17 @@ def test_local_outlier_factor_among_all_rows(spark, monkeypatch):
     assert len(got) == len(points)
     assert np.array([got[i] for i in range(len(points))]) == pytest.approx(wanted, rel=1e-5, abs=1e-5)
     assert max(got[i] for i in range(2400, 2412)) < 3 < got[2452]
+
+
+@pytest.mark.parametrize("km", [60.0, 700.0, 2000.0, 9000.0])
+def test_nearest_meets_all_pairs(spark, km):
+    """Against all pairs, with pairs across 180 degrees, by and across the poles, and several points in one place."""
+    rng = np.random.default_rng(17)
+    at = [(-11.0, -169.0), (1.0, 179.0), (0.0, 180.0), (0.0, -180.0), (89.9, 10.0), (89.8, -170.0), (-89.9, 0.0), (-90.0, 90.0), (60.0, 0.0), (75.0, 38.0), (75.0, 38.0), (75.0, 38.0)]
+    at += list(zip(np.degrees(np.arcsin(rng.uniform(-1, 1, 250))).tolist(), rng.uniform(-180, 180, 250).tolist(), strict=True))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "id int, lat double, lon double")
+    other = df.select(F.col("id").alias("pid"), "lat", "lon")
+    pairs = df.crossJoin(other.toDF("pid", "lat2", "lon2")).withColumn("d", geo.haversine(*map(F.col, ("lat", "lon", "lat2", "lon2")))).where(F.col("d") <= km)
+    for k in (2, len(at)):
+        wanted = {(r.id, r.pid) for q in pairs.toPandas().sort_values(["d", "pid"]).groupby("id") for r in q[1].head(k).itertuples()}
+        assert {(r.id, r.pid) for r in geo.nearest(df, other, "id", "pid", "lat", "lon", km, k).collect()} == wanted

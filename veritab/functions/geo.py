@@ -82,20 +82,26 @@ def within_radius(points: DataFrame, lat: str, lon: str, centre: tuple[float, fl
 
 def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, lat: str, lon: str, km: float, k: int = 1) -> DataFrame:
     """``query_id, point_id, distance, place`` of the ``k`` nearest points within ``km``: both sides are dealt in grid cells as wide as the radius, and a query meets the points of
-    its own and the neighbouring cells by an equi-join. Points beyond ``km`` aren't found."""
+    its own and the neighbouring cells by an equi-join. Columns wrap at 180 degrees; a row of cells from which the radius reaches a pole is one cell. Locations meet once, however
+    many rows share them: of a location's points only the ``k`` of least id can be among the nearest. Points beyond ``km`` aren't found."""
     span = km / KM_PER_DEGREE
-    left = queries.select(F.col(query_id).alias("q"), F.col(lat).alias("y1"), F.col(lon).alias("x1"))
-    # a degree of longitude shrinks with latitude, so columns are counted at the cell row's own width
-    right = points.select(F.col(point_id).alias("p"), F.col(lat).alias("y2"), F.col(lon).alias("x2"))
-    row1, row2 = F.floor(F.col("y1") / span), F.floor(F.col("y2") / span)
+    left = queries.select(F.col(query_id).alias("q"), F.col(lat).alias("y1"), F.col(lon).alias("x1")).where("y1 is not null and x1 is not null")
+    right = points.select(F.col(point_id).alias("p"), F.col(lat).alias("y2"), F.col(lon).alias("x2")).where("y2 is not null and x2 is not null")
+    right = right.withColumn("n", F.row_number().over(Window.partitionBy("y2", "x2").orderBy("p"))).where(F.col("n") <= k)
+
+    def columns(row: Column) -> Column:
+        """How many columns a row has, each as wide at least as the difference of longitude that the radius spans at the row's end by the pole."""
+        end = F.greatest(F.abs(row), F.abs(row + 1)) * span
+        widest = F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(span))) / F.cos(F.radians(end)), F.lit(1.0))))
+        return F.when(end + span < 90, F.greatest(F.floor(360 / widest), F.lit(1))).otherwise(F.lit(1)).cast("long")
 
-    def column(x: Column, row: Column) -> Column:
-        farthest = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * span, F.lit(89.0))
-        return F.floor(x / (span / F.cos(F.radians(farthest))))
+    def column(x: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(x + 180, F.lit(360.0)) * n / 360), n - 1)
 
-    near_rows = left.withColumn("r", F.explode(F.sequence(row1 - 1, row1 + 1)))
-    cells = near_rows.withColumn("c", F.explode(F.sequence(column(F.col("x1"), F.col("r")) - 1, column(F.col("x1"), F.col("r")) + 1)))
-    placed = right.withColumn("r", row2).withColumn("c", column(F.col("x2"), F.col("r")))
+    row1, row2 = F.floor(F.col("y1") / span), F.floor(F.col("y2") / span)
+    near_rows = left.select("y1", "x1").distinct().withColumn("r", F.explode(F.sequence(row1 - 1, row1 + 1))).withColumn("n", columns(F.col("r"))).withColumn("c", column(F.col("x1"), F.col("n")))
+    cells = near_rows.withColumn("c", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("c") + i, F.col("n")) for i in (-1, 0, 1)]))))
+    placed = right.withColumn("r", row2).withColumn("c", column(F.col("x2"), columns(row2))).select("p", "y2", "x2", "r", "c")
     met = cells.join(placed, ["r", "c"]).withColumn("distance", haversine(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))).where(F.col("distance") <= km)
-    best = met.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "p"))).where(F.col("place") <= k)
-    return best.select(F.col("q").alias(query_id), F.col("p").alias(point_id), "distance", "place")
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("y1", "x1").orderBy("distance", "p"))).where(F.col("place") <= k)
+    return left.join(best.select("y1", "x1", "p", "distance", "place"), ["y1", "x1"]).select(F.col("q").alias(query_id), F.col("p").alias(point_id), "distance", "place")

@@ -134,6 +134,8 @@ TABLES = [
     # geography
     ("points_within_radius", lambda t: _r(geo.within_radius(_points(t), "lat", "lon", (0.0, 0.0), 1500.0).select("id", "distance"), 3), f"SELECT id, round(d, 3) AS distance FROM (SELECT id, {KM.format(a='lat', b='0', c='lon', d='0')} AS d FROM {{places}} WHERE id % 100 > 1) WHERE d <= 1500"),
     ("nearest_point", lambda t: _r(geo.nearest(t["places"].where("id % 500 = 7 and abs(lat) < 70").select("id", "lat", "lon"), t["places"].where("id % 100 = 3").select(F.col("id").alias("pid"), "lat", "lon"), "id", "pid", "lat", "lon", 2000.0, 2), 3), f"SELECT id, pid, round(d, 3) AS distance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, pid) AS place FROM (SELECT a.id, b.id AS pid, {KM.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM (SELECT * FROM {{places}} WHERE id % 500 = 7 AND abs(lat) < 70) a, (SELECT * FROM {{places}} WHERE id % 100 = 3) b) WHERE d <= 2000) WHERE place <= 2"),
+    # the query set: places whose id is divisible by 50; all places are points
+    ("nearest_point_of_all", lambda t: _r(geo.nearest(t["places"].where("id % 50 = 0 AND abs(lat) <= 90 AND abs(lon) <= 180").select("id", "lat", "lon"), t["places"].where("abs(lat) <= 90 AND abs(lon) <= 180").select(F.col("id").alias("pid"), "lat", "lon"), "id", "pid", "lat", "lon", 2000.0, 2), 3), f"SELECT id, pid, round(d, 3) AS distance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, pid) AS place FROM (SELECT a.id, b.id AS pid, {KM.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM (SELECT * FROM {{places}} WHERE id % 50 = 0 AND abs(lat) <= 90 AND abs(lon) <= 180) a, (SELECT * FROM {{places}} WHERE abs(lat) <= 90 AND abs(lon) <= 180) b) WHERE d <= 2000) WHERE place <= 2"),
     ("bearing", lambda t: _r(_points(t).select("id", geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("angle")), 3), "SELECT id, round(((degrees(atan2(sin(radians(lon2 - lon)) * cos(radians(lat2)), cos(radians(lat)) * sin(radians(lat2)) - sin(radians(lat)) * cos(radians(lat2)) * cos(radians(lon2 - lon)))) + 360) % 360), 3) AS angle FROM {places} WHERE id % 100 > 1"),
     ("destination_point", lambda t: _points(t).select("id", geo.destination(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(100.0)).alias("d")).select("id", F.round("d.lat", 3).alias("lat")), "SELECT id, round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0) + cos(radians(lat)) * sin(100 / 6371.0) * cos(radians(45.0)))), 3) AS lat FROM {places} WHERE id % 100 > 1"),
     # profiling
