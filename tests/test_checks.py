@@ -1,6 +1,7 @@
 """Meaning of single checks on small tables: severities, nulls, ties and empty tables."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from veritab import issues, learn, load, mask, profile, run, scan, suite
 from veritab.functions import checksums, geo, statistics
 from veritab.ml import detectors
 from veritab.operators import aggregate, anomaly, completeness, dates, distribution, drift, geospatial, multi_column, privacy, profiling, queries, referential, schemas, strings, timeseries, uniqueness
-from veritab.plans import sdk
+from veritab.plans import catalogue, sdk
 from veritab.plans.checks import RESULT
 from veritab.plans.profile import compare_profiles, functional_dependencies
 
@@ -282,3 +283,21 @@ def test_nearest_meets_all_pairs(spark, km):
     for k in (2, len(at)):
         wanted = {(r.id, r.pid) for q in pairs.toPandas().sort_values(["d", "pid"]).groupby("id") for r in q[1].head(k).itertuples()}
         assert {(r.id, r.pid) for r in geo.nearest(df, other, "id", "pid", "lat", "lon", km, k).collect()} == wanted
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_hierarchy_depths_of_whole_tree(spark):
+    """The registered query has every node; those in or under a circle (ids ending in 50 and 51, and their descendants) are -1, others count all their ancestors."""
+    tree = {r.id: r.parent for r in catalogue.Tables(spark, "/root/testdata/sf0.001")["tree"].collect()}
+
+    def depth(node):
+        way = [node]
+        while tree.get(way[-1]) in tree:
+            way.append(tree[way[-1]])
+            if len(way) > 65:
+                return -1
+        return len(way) - 1
+
+    got = {int(r.id): r.depth for r in catalogue.queries()["hierarchy_depths_of_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {node: depth(node) for node in tree}
+    assert got[50] == got[51] == got[100] == -1 and got[52] == 5

@@ -96,6 +96,8 @@ TABLES = [
     ("cascade_integrity", lambda t: referential.cascade_integrity({"orders": t["children"], "customer": t["customer"]}, [referential.Relation("orders", ("customer",), "customer", ("c_custkey",)), referential.Relation("orders", ("customer",), "customer", ("c_custkey",), "SET_NULL")]).select("issue", "n_bad"), "SELECT 'cascade_restrict' AS issue, count(*) FILTER (WHERE customer NOT IN (SELECT c_custkey FROM customer)) AS n_bad FROM {children} UNION ALL SELECT 'cascade_set_null', count(*) FILTER (WHERE customer IS NULL) FROM {children} UNION ALL SELECT 'conflicting_actions', 1"),
     ("find_orphans", lambda t: referential.orphans(t["children"], ["customer"], t["customer"], ["c_custkey"]).select("id", "customer"), "SELECT id, customer FROM {children} WHERE customer IS NOT NULL AND customer NOT IN (SELECT c_custkey FROM customer)"),
     ("hierarchy_depths", lambda t: referential.ancestors(t["tree"].where("id % 100 < 50"), "id", "parent", 64), "WITH RECURSIVE n AS (SELECT id, parent FROM {tree} WHERE id % 100 < 50), w AS (SELECT id, parent AS up, 0 AS d FROM n UNION ALL SELECT w.id, n.parent, w.d + 1 FROM w JOIN n ON w.up = n.id) SELECT id::VARCHAR AS id, max(d)::BIGINT AS depth FROM w GROUP BY id"),
+    # circles and chains of more than 64 ancestors are -1
+    ("hierarchy_depths_of_all", lambda t: referential.ancestors(t["tree"], "id", "parent", 64), "WITH RECURSIVE n AS (SELECT id, parent FROM {tree}), w AS (SELECT id, parent AS up, 0 AS d FROM n UNION ALL SELECT w.id, n.parent, w.d + 1 FROM w JOIN n ON w.up = n.id WHERE w.d < 65) SELECT id::VARCHAR AS id, CASE WHEN max(d) > 64 THEN -1 ELSE max(d) END::BIGINT AS depth FROM w GROUP BY id"),
     # relational helpers and engine primitives
     ("aggregate_lazy", lambda t: _r(relational.aggregate(t["orders"], ["o_orderstatus"], SPEC), 2), "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS top FROM orders GROUP BY 1"),
     ("aggregate_all_functions", lambda t: _r(relational.aggregate(t["children"], ["status"], {f: (f, "price") for f in ("sum", "mean", "min", "max", "count", "std", "var", "median", "n_unique", "null_count")}).select("status", F.round("sum", 2).alias("sum"), "mean", "min", "max", "count", "std", F.round(F.col("var") / 1e6, 2).alias("var"), "median", "n_unique", "null_count"), 2), "SELECT status, round(sum(price), 2) AS sum, round(avg(price), 2) AS mean, min(price) AS min, max(price) AS max, count(price) AS count, round(stddev_samp(price), 2) AS std, round(var_samp(price) / 1e6, 2) AS var, round(quantile_cont(price, 0.5), 2) AS median, count(DISTINCT price) AS n_unique, count(*) - count(price) AS null_count FROM {children} GROUP BY 1"),
