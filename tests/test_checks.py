@@ -301,3 +301,15 @@ def test_hierarchy_depths_of_whole_tree(spark):
     got = {int(r.id): r.depth for r in catalogue.queries()["hierarchy_depths_of_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {node: depth(node) for node in tree}
     assert got[50] == got[51] == got[100] == -1 and got[52] == 5
+
+
+def test_isolation_forest_samples_rows_not_values(spark):
+    """A combination of values that fills more than the sample doesn't fill it wholly, and isn't left out of it, wherever its hash puts it."""
+    rng = np.random.default_rng(4)
+    others = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(15000, 2)))], "id int, x double, y double")
+    lone = spark.createDataFrame([(-1, 9.0, 9.0)], "id int, x double, y double")
+    first, last = (others.orderBy(F.xxhash64("x", "y") if up else F.xxhash64("x", "y").desc()).first() for up in (True, False))
+    for hot in (first, last):
+        df = others.union(lone).union(spark.range(15000).select(F.col("id").cast("int") + 20000, F.lit(hot.x), F.lit(hot.y)))
+        found = {r.id for r in detectors.flagged(detectors.IsolationForest(["x", "y"]), df, "id").collect()}
+        assert -1 in found and not any(i >= 20000 for i in found)

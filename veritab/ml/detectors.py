@@ -82,7 +82,7 @@ def _path_length(n: float) -> float:
 
 @dataclass
 class IsolationForest(Detector):
-    """Random trees over a bounded sample, the first ``trees * size`` rows in the order of a hash; scores are made by an Arrow-batched function with the trees as arrays."""
+    """Random trees over a bounded sample of ``trees * size`` rows, each row with the same chance whatever its values; scores are made by an Arrow-batched function with the trees as arrays."""
 
     columns: Sequence[str]
     trees: int = 50
@@ -92,7 +92,7 @@ class IsolationForest(Detector):
 
     def fit(self, df: DataFrame) -> IsolationForest:
         clean = df.select(*[F.col(c).cast("double").alias(c) for c in self.columns]).dropna()
-        sample = clean.orderBy(F.xxhash64(*self.columns), *self.columns).limit(self.trees * self.size).toPandas().to_numpy()
+        sample = clean.orderBy(F.rand(self.seed)).limit(self.trees * self.size).toPandas().to_numpy()
         rng = np.random.default_rng(self.seed)
         self.forest = [self._grow(sample[rng.choice(len(sample), min(self.size, len(sample)), replace=False)], rng) for _ in range(self.trees)] if len(sample) else []
         self.cut = self.threshold
