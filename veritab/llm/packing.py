@@ -1,4 +1,4 @@
-"""Best-fit packing by a configuration linear program over the length histogram."""
+"""Best-fit packing by a greedy fill of patterns over the length histogram."""
 
 from __future__ import annotations
 
@@ -41,9 +41,9 @@ def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
 
 
 def fractional(histogram: np.ndarray, capacity: int, rounds: int, rate: float, eta: float) -> list[tuple[np.ndarray, float]]:
-    """An approximate solution of the configuration program: patterns and how often each is used, so that every length is covered.
+    """Patterns and how often each is used, so that every length is covered: a greedy fill, not a solution of the configuration program.
 
-    Multiplicative weights: a length's price is its share of the capacity times exp(-eta * the share of its demand that is covered). Each round takes the longest length not
+    The weights are nominal: a length's price is its share of the capacity times exp(-eta * the share of its demand that is covered). Each round takes the longest length not
     yet covered, which fits with the fewest others, and the pattern of the greatest price around it, found by `best_pattern`; it is used until it has covered a share
     ``rate`` of what one of its lengths still needs. With a rate of 1, each round covers a length wholly, so there are at most as many rounds as lengths.
     """
@@ -121,7 +121,7 @@ class Packing:
 
 
 def solve(histogram: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 1.0, eta: float = 0.05) -> Packing:
-    """Packs ``histogram[l]`` pieces of each length ``l``: the program's solution rounded down, what is left by best fit; best fit alone if that takes fewer."""
+    """Packs ``histogram[l]`` pieces of each length ``l``: the greedy fill rounded down, what is left by best fit; best fit alone if that takes fewer."""
     histogram = histogram.astype(np.int64)
     left, patterns = histogram.copy(), {}
     full = int(left[capacity])
