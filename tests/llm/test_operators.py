@@ -98,10 +98,27 @@ def test_decontamination(spark, docs, none):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma delta"), (2, "alpha beta gamma delta"), (3, "delta z z z z z z alpha beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    windows = decontaminate.item_windows(items, "item_id", "text", 10)
-    keyed = docs.select(F.col("doc_id").cast("string").alias("key"), decontaminate.words(F.col("text")).alias("w"))
-    assert {(r.key, r.kind) for r in decontaminate.matches(keyed, windows, 10, 4, 0).collect()} == {("2", "phrase")}
-    assert {(r.key, r.kind) for r in decontaminate.matches(keyed, windows, 10, 4, 2).collect()} >= {("2", "phrase"), ("1", "proximity")}
+    windows, _ = decontaminate.item_windows(items, "item_id", "text", 10)
+    keyed = docs.select(F.col("doc_id").cast("string").alias("key"), "text")
+    assert {(r.key, r.kind) for r in decontaminate.matches(keyed, windows, 4, 0).collect()} == {("2", "phrase")}
+    assert {(r.key, r.kind) for r in decontaminate.matches(keyed, windows, 4, 2).collect()} == {("2", "phrase"), ("1", "proximity")}
+
+
+def test_lists_are_intersected(spark):
+    """More anchors leave fewer places to compare with the text, and the same phrases."""
+    rng = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(200)) for _ in range(20)]
+    items = [(i, " ".join(t.split()[7 * i : 7 * i + 6])) for i, t in enumerate(texts[:8])]
+    windows, _ = decontaminate.item_windows(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 5)
+    keyed = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    counts = decontaminate.term_counts(keyed, windows)
+    met, phrases = [], []
+    for anchors in (1, 2, 4):
+        chosen = decontaminate.rarest(windows, counts, anchors)
+        met.append(decontaminate.intersected(decontaminate.postings(keyed, chosen.select("term").distinct()), chosen, 0).count())
+        phrases.append(by_row(decontaminate.matches(keyed, windows, anchors), "key", "window", "start", "n_terms"))
+    assert met[0] > 4 * met[1] > 8 * met[2] and phrases[0] == phrases[1] == phrases[2] and len(phrases[0]) >= 16
 
 
 # 2

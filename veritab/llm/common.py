@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,15 +18,21 @@ from pyspark.sql import functions as F
 #: Texts are worked on in slices of about so many bytes, so a worker's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
 
+#: A table to be broadcast has at most so many rows, and its texts at most so many bytes.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """This application's folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a cluster, whose machines don't share one, an error."""
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             root = f"file://{tempfile.mkdtemp(prefix='veritab-')}"
         _OWN[app] = f"{root.rstrip('/')}/veritab-{app}"
         atexit.register(_remove, spark, _OWN[app])
@@ -45,7 +52,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._veritab_folder = path
+    return back
+
+
+def discard(*used: DataFrame) -> None:
+    """Deletes what `stored` wrote for these tables. Only for those that no table still to be computed reads."""
+    for df in used:
+        _remove(df.sparkSession, df._veritab_folder)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows and bytes (see `BROADCAST_ROWS`); beyond, a join with it shuffles. ``df`` should be cheap to read: it is measured first."""
+    sizes = [F.octet_length(c) if t == "string" else F.octet_length(F.concat_ws(" ", c)) for c, t in df.dtypes if t in ("string", "array<string>")]
+    size = sum(map(F.coalesce, sizes, [F.lit(0)] * len(sizes)), F.lit(0))
+    n, total = df.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.col("size").cast("long"))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
 
 
 def row_key(id_col: str, text_col: str) -> Column:

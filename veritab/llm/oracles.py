@@ -15,12 +15,28 @@ dw AS (
   SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p
   FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)
 ),
-hit AS (SELECT dw.rid, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.n = bw.n),
+hit AS (SELECT dw.rid, dw.i, dw.n, dw.p, bw.item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.n = bw.n),
 words_hit AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS j FROM hit) GROUP BY rid),
-items AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY rid)
+items AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY rid),
+placed AS (SELECT p, t, min(place) AS place FROM (SELECT p, unnest(string_split(p, ' ')) AS t, unnest(generate_series(0, n - 1)) AS place FROM (SELECT DISTINCT p, n FROM bw)) GROUP BY p, t),
+each_word AS (SELECT rid, unnest(w) AS t, unnest(generate_series(0, len(w) - 1)) AS pos FROM d WHERE len(w) > 0),
+post AS (SELECT * FROM each_word SEMI JOIN placed USING (t)),
+often AS (SELECT t, count(*) AS n FROM post GROUP BY t),
+ranked AS (SELECT p, t, place, row_number() OVER (PARTITION BY p ORDER BY coalesce(n, 0), t) AS r, min(coalesce(n, 0)) OVER (PARTITION BY p) AS least FROM placed LEFT JOIN often USING (t)),
+anchor AS (SELECT p, t, place, r, max(r) OVER (PARTITION BY p) AS ranks FROM ranked WHERE r <= 3 AND least > 0),
+first_place AS (SELECT rid, p, ranks, pos - place AS start FROM anchor JOIN post USING (t) WHERE r = 1),
+others AS (
+  SELECT f.rid, f.p, f.start, count(DISTINCT a.r) AS n FROM first_place f JOIN anchor a ON a.p = f.p AND a.r > 1 JOIN post q ON q.rid = f.rid AND q.t = a.t AND abs(q.pos - a.place - f.start) <= 2
+  GROUP BY ALL
+),
+near AS (
+  SELECT f.rid, count(*) AS n_near FROM first_place f LEFT JOIN others o ON o.rid = f.rid AND o.p = f.p AND o.start = f.start
+  ANTI JOIN hit ON hit.rid = f.rid AND hit.i = f.start + 1 AND hit.p = f.p
+  WHERE coalesce(o.n, 0) = f.ranks - 1 GROUP BY f.rid
+)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words_hit USING (rid) LEFT JOIN items USING (rid)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN words_hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)
 """
 
 OP2 = f"""
