@@ -138,8 +138,11 @@ def brute_repeats(rows, k):
 @pytest.mark.parametrize("width", [35, 5])
 def test_substrings(docs, none, width, monkeypatch):
     if width == 5:
-        monkeypatch.setattr(substrings, "LEAST", 1)  # makes hot minimisers in a small table
-        monkeypatch.setattr(substrings, "HARMLESS", 1)
+        monkeypatch.setattr(substrings, "BUCKET_BYTES", 512)  # makes many buckets, and hot ones, in a small table
+        monkeypatch.setattr(substrings, "HOT", 0.5)
+        monkeypatch.setattr(substrings, "MERGE_BYTES", 100)
+        made = substrings._deal(docs.select(F.col("text").alias("__text")), width)
+        assert made.buckets > 50 and len(made.hot) > 3
     got = substrings.remove_repeats(docs, "doc_id", "text", width)
     assert by_row(got.select("row.doc_id", "n_words", "n_removed", "kept_sha256"), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(ROWS, width)
     assert substrings.remove_repeats(none, "doc_id", "text", width).count() == 0

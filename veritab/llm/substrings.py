@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, full_windows, hash_words, mixed, sliced, split_words, stored, sums, window_hashes
@@ -20,30 +21,40 @@ from .common import covered, full_windows, hash_words, mixed, sliced, split_word
 MINIMISER = 4
 #: A super-k-mer's table is built from slices of so many bytes; equal strings of a slice travel once.
 MAP_BYTES = 8 << 20
-#: Buckets for each shuffle partition; a worker holds one bucket at a time.
-SPLIT = 4
-#: In the count of hot minimisers, what a slice holds fewer times than this isn't sent; so one may be missed only if no slice holds that many.
-LEAST = 8
-#: A minimiser with no more distinct strings than this isn't hot: a few megabytes, which any worker can hold.
-HARMLESS = 20_000
+#: There are so many buckets that each has about so many bytes of packed strings.
+BUCKET_BYTES = 4 << 20
+#: A bucket with more than so many times those bytes is hot: the windows of its minimisers travel alone.
+HOT = 4
+#: Strings of a bucket that have come in are merged with equal ones once they are so many bytes.
+MERGE_BYTES = 16 << 20
 
 
 @dataclass
 class Runs:
-    """The super-k-mers of a row of texts: first word, number of windows, and the hash that names the bucket."""
+    """The super-k-mers of a row of texts: first word, number of windows, and bucket."""
 
     first: np.ndarray
     windows: np.ndarray
-    deal: np.ndarray
-    minimiser: np.ndarray
+    bucket: np.ndarray
 
 
-def super_kmers(hashes: np.ndarray, offsets: np.ndarray, k: int, hot: np.ndarray) -> Runs:
-    """Maximal runs of consecutive windows of a text whose minimisers are equal. Windows with a ``hot`` minimiser go alone, each to the bucket of its own hash."""
+@dataclass(frozen=True)
+class Deal:
+    """How minimisers are dealt to buckets: by their hash, but those of the ``hot`` buckets (sorted), whose windows are dealt by their own hashes."""
+
+    buckets: int
+    hot: np.ndarray
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return (mixed(hashes) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def super_kmers(hashes: np.ndarray, offsets: np.ndarray, k: int, deal: Deal) -> Runs:
+    """Maximal runs of consecutive windows of a text whose minimisers are equal. Windows with a minimiser of a hot bucket go alone, each to the bucket of its own hash."""
     starts = full_windows(offsets, k)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Runs(none, none, none)
     m = min(MINIMISER, k)
     least, width, want = window_hashes(hashes, m), 1, k - m + 1
     while width < want:
@@ -51,26 +62,28 @@ def super_kmers(hashes: np.ndarray, offsets: np.ndarray, k: int, hot: np.ndarray
         least = np.minimum(least[:-shift], least[shift:])
         width += shift
     value = least[starts]
-    alone = np.isin(value, hot) if len(hot) else np.zeros(len(value), bool)
     begins = np.ones(len(starts), bool)
-    begins[1:] = (starts[1:] != starts[:-1] + 1) | (value[1:] != value[:-1]) | alone[1:]
+    begins[1:] = (starts[1:] != starts[:-1] + 1) | (value[1:] != value[:-1])
     at = np.flatnonzero(begins)
-    deal = value[at]
-    if alone.any():
-        own = alone[at]
-        deal = deal.copy()
-        deal[own] = window_hashes(hashes, k)[starts[at[own]]]
-    return Runs(starts[at], np.diff(np.append(at, len(starts))), deal, value[at])
+    bucket = deal(value[at])
+    if len(deal.hot):
+        alone = np.isin(bucket, deal.hot)
+        each = np.repeat(alone, np.diff(np.append(at, len(starts))))
+        at = np.flatnonzero(begins | each)
+        bucket = deal(value[at])
+        own = each[at]
+        bucket[own] = deal(window_hashes(hashes, k)[starts[at[own]]])
+    return Runs(starts[at], np.diff(np.append(at, len(starts))), bucket)
 
 
 class Slice:
     """The words of a slice of texts, their super-k-mers and the packed strings."""
 
-    def __init__(self, texts: pa.Array, k: int, hot: np.ndarray):
+    def __init__(self, texts: pa.Array, k: int, deal: Deal):
         words, self.offsets = split_words(texts)
         coded = words.dictionary_encode()
         self.hashes = hash_words(coded.dictionary)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
-        self.runs, self.words, self.k = super_kmers(self.hashes, self.offsets, k, hot), words, k
+        self.runs, self.words, self.k = super_kmers(self.hashes, self.offsets, k, deal), words, k
 
     def packed(self) -> list[bytes]:
         spaced = pc.binary_join_element_wise(self.words.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
@@ -82,31 +95,30 @@ class Slice:
         return [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def _heavy(texts: DataFrame, k: int, spark: SparkSession) -> np.ndarray:
-    """Minimisers with more distinct strings than `HARMLESS`, and than a quarter of what a shuffle partition holds on average: so fewer than four for each partition."""
-    empty = np.zeros(0, np.uint64)
+def _deal(texts: DataFrame, k: int) -> Deal:
+    """As many buckets as the bytes of all texts ask for, and those that are hot: every slice tells how many bytes of distinct strings it has for each bucket, and sums of all
+    of them are compared. A hot bucket has `HOT` times the average share, so but a small part of the buckets' numbers come to the driver."""
+    total = texts.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
+    runs = 1 + 2 * k / (k - min(MINIMISER, k) + 2)  # a run of windows holds half as many words as a window in new ones, and a window's that its neighbours hold too
+    start = Deal(max(1, math.ceil(total * runs / BUCKET_BYTES)), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
         for batch in sliced(batches, "__text", MAP_BYTES):
-            s = Slice(batch.column("__text"), k, empty)
+            s = Slice(batch.column("__text"), k, start)
             if not len(s.runs.first):
                 continue
             ends = window_hashes(s.hashes, k)
             with np.errstate(over="ignore"):
                 name = mixed(ends[s.runs.first] ^ mixed(ends[s.runs.first + s.runs.windows - 1] + s.runs.windows.astype(np.uint64)))
             _, one = np.unique(name, return_index=True)
-            total += len(one)
-            value, n = np.unique(s.runs.minimiser[one], return_counts=True)
-            often = n >= LEAST
-            yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], names=["minimiser", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["minimiser", "n"])
+            at = np.concatenate([[0], np.cumsum(pc.binary_length(s.words).to_numpy().astype(np.int64) + 1)])
+            size = at[s.runs.first + s.runs.windows + k - 1] - at[s.runs.first]
+            bucket, place = np.unique(s.runs.bucket[one], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.bincount(place, weights=size[one]).astype(np.int64))], names=["bucket", "n"])
 
-    counts = stored(texts.mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")), "minimisers")
-    total = counts.where("minimiser is null").agg(F.sum("n")).first()[0] or 0
-    limit = max(HARMLESS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = counts.where(F.col("minimiser").isNotNull() & (F.col("n") > limit)).select("minimiser").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+    loads = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = loads.where(F.col("n") > HOT * BUCKET_BYTES).select("bucket").collect()
+    return Deal(start.buckets, np.sort(np.array([r[0] for r in found], np.int64)))
 
 
 def repeated_windows(strings: pa.Array, times: np.ndarray, k: int) -> list[tuple[int, list[int]]]:
@@ -148,60 +160,76 @@ def repeated_windows(strings: pa.Array, times: np.ndarray, k: int) -> list[tuple
     return list(out.items())
 
 
-def _repeats(texts: DataFrame, k: int, hot: np.ndarray, partitions: int) -> DataFrame:
+class Bucket:
+    """The distinct strings of a bucket and whether each came once or more often. Equal strings are merged as they come in, so their number doesn't count."""
+
+    def __init__(self) -> None:
+        self.strings, self.times = pa.array([], pa.large_binary()), np.zeros(0)
+        self.new: list[bytes] = []
+        self.new_times: list[np.ndarray] = []
+        self.size, self.unpack = 0, zstandard.ZstdDecompressor()
+
+    def add(self, packed: bytes, twice: bytes) -> None:
+        own = self.unpack.decompress(packed)
+        strings = own.split(b"\n")
+        self.new += strings
+        self.new_times.append(np.unpackbits(np.frombuffer(twice, np.uint8), count=len(strings)) + 1)
+        self.size += len(own)
+        if self.size > MERGE_BYTES:
+            self.merge()
+
+    def merge(self) -> None:
+        coded = pa.concat_arrays([self.strings, pa.array(self.new, pa.large_binary())]).dictionary_encode()
+        self.times = np.minimum(np.bincount(coded.indices.to_numpy(), weights=np.concatenate([self.times, *self.new_times])), 2)
+        self.strings, self.new, self.new_times, self.size = coded.dictionary, [], [], 0
+
+    def repeats(self, k: int) -> pa.RecordBatch | None:
+        if self.new:
+            self.merge()
+        found = repeated_windows(self.strings.cast(pa.large_string()), self.times, k) if len(self.strings) else []
+        if not found:
+            return None
+        sids = pa.array([xxhash.xxh3_128_digest(self.strings[i].as_py()) for i, _ in found], pa.binary())
+        return pa.RecordBatch.from_arrays([sids, pa.array([x for _, x in found], pa.list_(pa.int32()))], names=["sid", "runs"])
+
+
+def _repeats(texts: DataFrame, k: int, deal: Deal, partitions: int) -> DataFrame:
     """``sid`` (a 128-bit name of a packed string) and ``runs`` of its repeated windows."""
-    buckets = partitions * SPLIT
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in sliced(batches, "__text", MAP_BYTES):
-            s = Slice(batch.column("__text"), k, hot)
+            s = Slice(batch.column("__text"), k, deal)
             if not len(s.runs.first):
                 continue
             coded = pa.array(s.packed(), pa.large_binary()).dictionary_encode()
             index = coded.indices.to_numpy()
             twice = np.bincount(index) > 1
-            deal = np.zeros(len(twice), np.int64)
-            deal[index] = (mixed(s.runs.deal) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(deal, kind="stable")
+            bucket = np.zeros(len(twice), np.int64)
+            bucket[index] = s.runs.bucket
+            order = np.argsort(bucket, kind="stable")
             strings = coded.dictionary.to_pylist()
-            cuts = np.flatnonzero(np.diff(deal[order])) + 1
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             out: tuple[list, ...] = ([], [], [])
             for mine in np.split(order, cuts):
-                out[0].append(int(deal[mine[0]]))
+                out[0].append(int(bucket[mine[0]]))
                 out[1].append(pack.compress(b"\n".join([strings[i] for i in mine.tolist()])))
                 out[2].append(np.packbits(twice[mine]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "strings", "twice"])
-
-    def count(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
-        unpack, strings, times = zstandard.ZstdDecompressor(), [], []
-        for packed, twice in parts:
-            own = unpack.decompress(packed).split(b"\n")
-            strings += own
-            times.append(np.unpackbits(np.frombuffer(twice, np.uint8), count=len(own)) + 1)
-        coded = pa.array(strings, pa.large_binary()).dictionary_encode()
-        total = np.bincount(coded.indices.to_numpy(), weights=np.concatenate(times))
-        found = repeated_windows(coded.dictionary.cast(pa.large_string()), total, k)
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array([xxhash.xxh3_128_digest(coded.dictionary[i].as_py()) for i, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int32()))], names=["sid", "runs"]
-        )
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "strings", "twice"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts = None, []
+        bucket, mine = None, Bucket()
         for batch in batches:
             for b, packed, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and parts:
-                    if (out := count(parts)) is not None:
+                if b != bucket:
+                    if (out := mine.repeats(k)) is not None:
                         yield out
-                    parts = []
-                bucket = b
-                parts.append((packed, twice))
-        if parts and (out := count(parts)) is not None:
+                    bucket, mine = b, Bucket()
+                mine.add(packed, twice)
+        if (out := mine.repeats(k)) is not None:
             yield out
 
-    sent = texts.mapInArrow(send, "bucket int, strings binary, twice binary")
+    sent = texts.mapInArrow(send, "bucket long, strings binary, twice binary")
     return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sid binary, runs array<int>")
 
 
@@ -214,20 +242,20 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = 35) -
     Null and empty texts have no words and stay as they are; texts of fewer than ``width`` words have no window; repeated rows count as copies, so their long texts go.
     An empty table gives no rows. Columns of ``df`` may have any names, since they travel in ``row``.
 
-    Three passes over the texts: one finds hot minimisers, one sends the packed strings (equal ones of a slice once), one names the strings of each row to look them up. No
-    task holds a copy group: strings are counted without their rows, and the look-up is a join on the string's name with one row on the other side, which can be split.
+    Three passes over the texts: one measures the buckets, one sends the packed strings (equal ones of a slice once), one names the strings of each row to look them up. No
+    task holds a copy group: strings are counted without their rows, and the look-up is a join on the string's name with one row on the other side, which can be split. Rows
+    that agree in id and text share one list of what goes. A text is split by one task, which holds some 100 bytes for each of its words.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(df[text_col].cast("string").alias("__text"))
-    hot = _heavy(texts, width, spark)
-    found = stored(_repeats(texts, width, hot, partitions), "repeats")
+    deal = _deal(texts, width)
+    found = stored(_repeats(texts, width, deal, partitions), "repeats")
     named = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].cast("string").alias("__id"), df[text_col].cast("string").alias("__text"))
     key = F.struct(F.xxhash64("__id", "__text").alias("a"), F.xxhash64("__text", F.lit(1), "__id").alias("b"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text", MAP_BYTES):
-            s = Slice(batch.column("__text"), width, hot)
+            s = Slice(batch.column("__text"), width, deal)
             if not len(s.runs.first):
                 continue
             row = np.searchsorted(s.offsets, s.runs.first, "right") - 1
@@ -236,7 +264,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = 35) -
             yield pa.RecordBatch.from_arrays([batch.column("a").take(who), batch.column("b").take(who), pa.array(s.runs.first - s.offsets[row]), sids], names=["a", "b", "first", "sid"])
 
     places = named.where(F.length("__text") >= 2 * width - 1).select(key["a"].alias("a"), key["b"].alias("b"), "__text").mapInArrow(name, "a long, b long, first long, sid binary")
-    gone = places.join(found, "sid").groupBy("a", "b").agg(F.collect_list(F.struct("first", "runs")).alias("gone"))
+    gone = places.join(found, "sid").groupBy("a", "b").agg(F.collect_set(F.struct("first", "runs")).alias("gone"))
     rows = named.select("row", key["a"].alias("a"), key["b"].alias("b"), "__text").join(gone, ["a", "b"], "left").select("row", "__text", "gone")
     kind = rows.schema["row"].dataType.simpleString()
 
