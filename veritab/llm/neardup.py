@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import full_windows, give_back, hash_words, mixed, sliced, split_words, stored, window_hashes
+from .common import bounded, full_windows, give_back, hash_words, mixed, sliced, split_words, stored, window_hashes
 from .components import components
 
-#: A side of a join with more rows than this is not broadcast.
-BROADCAST_ROWS = 200_000
+#: Nodes of more documents than this are met by a broadcast of their few rows, where other nodes' rows are shuffled by node.
+LARGE = 4096
 #: Nodes by rare shingle, in which few documents are compared with all, may hold so many documents and their full sets.
 WIDE = 4096
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,8 +127,17 @@ def _first_nodes(sets: DataFrame, how: Join) -> DataFrame:
     return sets.select(F.explode(F.array(*keys)).alias("node"), "v")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _told(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their node in ``nodes`` (``node``, ``size`` and others). ``rows`` aren't shuffled by node where ``nodes`` can be broadcast; beyond, those of the
+    large nodes still aren't, as these are few: one for each `LARGE` rows at most. So no task reads the rows of a large node."""
+    nodes = stored(nodes, "nodes")
+    few = bounded(nodes)
+    if few is not nodes:
+        return rows.join(few, "node")
+    large = nodes.where(F.col("size") > LARGE)
+    hot = rows.join(bounded(large), "node")
+    rest = rows.join(bounded(large.select("node")), "node", "left_anti").join(nodes.where(F.col("size") <= LARGE), "node")
+    return hot.unionByName(rest)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +220,8 @@ def _all_stars(rows: DataFrame, how: Join) -> DataFrame:
         leaders = made.where("split").select("node", F.col("a").alias("v")).distinct()
         if not leaders.take(1):
             return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        leaders = leaders.join(rows.select("node", "v", "n", "sketch"), ["node", "v"])
-        rows = stored(leaders.join(leaders.groupBy("node").agg(F.count("*").alias("size")), "node"), "leaders")
+        leaders = stored(leaders.join(rows.select("node", "v", "n", "sketch"), ["node", "v"]), "leaders")
+        rows = stored(_told(leaders, leaders.groupBy("node").agg(F.count("*").alias("size"))), "leaders")
 
 
 def _across(rows: DataFrame, how: Join) -> DataFrame:
@@ -248,7 +257,7 @@ def _across(rows: DataFrame, how: Join) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, how: Join) -> DataFrame:
     """``id, set``: the full sets of the documents with these ids. Only their texts are read into sets."""
-    wanted = docs.join(_bounded(ids), "id", "left_semi")
+    wanted = docs.join(bounded(ids), "id", "left_semi")
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +276,17 @@ def _heads(full: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
     n - that + 1. m is at least percent % of n, and at least the smallest set in a node of the document. Shingles that no other document has are left out: so documents of
     which that many are their own, such as copies that are edited too much, have no row. Rarity is counted by partial sums: a common shingle is no hot key.
     """
-    least = rows.groupBy("node").agg(F.min("n").alias("least"))
-    own = stored(rows.join(least, "node").groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
+    least = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    own = stored(_told(rows.drop("size"), least).groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
     sets = full.withColumnRenamed("id", "v")
-    each = sets.join(_bounded(own.select("v")), "v").select("v", F.explode("set").alias("shingle"))
+    each = sets.join(bounded(own.select("v")), "v").select("v", F.explode("set").alias("shingle"))
     counts = stored(each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("v").alias("first")), "shingles")
     alone = counts.where("docs = 1").groupBy(F.col("first").alias("v")).agg(F.count("*").alias("alone"))
     common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * how.percent / 100))) * how.percent / (100 + how.percent))
     known = own.join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("meeting", F.col("n") - common + 1)
     able = stored(known.where("alone < meeting").select("v", "n", "component", "alone", "meeting"), "able")
-    again = sets.join(_bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle")).join(counts.where("docs > 1").select("shingle", "docs"), "shingle")
-    placed = again.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("docs", "shingle"))).join(_bounded(able), "v")
+    again = sets.join(bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle")).join(counts.where("docs > 1").select("shingle", "docs"), "shingle")
+    placed = again.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("docs", "shingle"))).join(bounded(able), "v")
     head = placed.where(F.col("place") + F.col("alone") <= F.col("meeting"))
     return stored(head.select("v", "component", (F.col("n") - F.col("alone")).alias("shared"), "shingle"), "heads")
 
@@ -285,7 +294,7 @@ def _heads(full: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
 def _branched(heads: DataFrame, large: DataFrame, full: DataFrame, how: Join) -> DataFrame:
     """Pairs ``a, b`` of the documents of large nodes, in nodes by rare shingle: documents of different components whose full sets are similar enough. Of a node's components, the
     documents outside the largest are each compared with all others. Nodes of over `WIDE` documents are cut into blocks, and each pair of blocks is a node."""
-    mine = heads.join(_bounded(large.select("v").distinct()), "v", "left_semi")
+    mine = heads.join(bounded(large.select("v").distinct()), "v", "left_semi")
     met = stored(_mixed(mine.select(F.col("shingle").alias("node"), "v", "component")), "branched")
     blocks = _blocks(met.where(F.col("size") > WIDE), WIDE).select(*met.columns)
     rows = met.where(F.col("size") <= WIDE).unionByName(blocks).join(full.withColumnRenamed("id", "v"), "v")
@@ -349,7 +358,7 @@ def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     full = stored(_sets_of(docs, met.select(F.col("v").alias("id")).distinct(), how), "sets")
     close = stored(_confirmed(_all_stars(met, how), full, how), "links")
     found = stored(components(close), "components")
-    labelled = met.join(_bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    labelled = met.join(bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
     open_ = stored(_mixed(labelled), "open")
     heads = _heads(full, open_, how)
     several = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
@@ -363,13 +372,13 @@ def _distinct_nodes(rows: DataFrame) -> DataFrame:
     """``node, v, size`` of the nodes with several documents; of nodes with the same documents, one."""
     each = rows.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("x"), F.sum(F.hash("v").cast("long")).alias("s"), F.min("v").alias("m"))
     one = each.where("size > 1").groupBy("size", "x", "s", "m").agg(F.min("node").alias("node"))
-    return rows.join(one.select("node", "size"), "node")
+    return _told(rows, one.select("node", "size"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of nodes with more than one component, with the nodes' sizes."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return rows.drop("size").join(nodes.select("node", "size"), "node")
+    return _told(rows.drop("size"), nodes.select("node", "size"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Join = Join()) -> DataFrame:
@@ -379,7 +388,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Join = Join(
     empty texts have empty sets and are linked with nothing: each is its own component. ``component_id`` is the smallest id reachable; ``kept`` is true on its row.
 
     Rows with equal sets are one vertex, under the smallest of their ids; rows that repeat an id share its fate, so two equal rows are both kept. A null id has the
-    component of its set, if a row with an id has that set too, else a null one; it is never kept. An empty table gives no rows. Other columns are ignored.
+    component of its set, if a row with an id has that set too, else a null one; it is never kept. An empty table gives no rows. Other columns are ignored. A text is made into
+    its set by one task, which holds some 60 bytes for each of its words.
     """
     docs = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     every = stored(_signatures(docs, how), "signatures")
