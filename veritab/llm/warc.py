@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -12,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import SLICE_BYTES, sliced, stored
 
 #: An archive is closed after so many bytes of payload.
 ARCHIVE_BYTES = 1 << 20
 #: The reader inflates so much at a time.
 CHUNK = 1 << 16
+#: Records that the reader gives at a time, at most.
+SLICE_RECORDS = 10_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -80,34 +83,59 @@ def members(archive: bytes) -> Iterator[bytes]:
 
 
 def _fields(head: bytes) -> tuple[str, dict[str, str]]:
-    first, *lines = head.decode("utf-8").split("\r\n")
+    try:
+        text = head.decode("utf-8")
+    except UnicodeDecodeError:  # heads may be in Latin-1, in which any bytes are text
+        text = head.decode("latin-1")
+    first, *lines = text.split("\r\n")
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+def _whole(number: str | None) -> int | None:
+    """A whole number as heads write it; null if it is none."""
+    return int(number) if number is not None and re.fullmatch(r"[0-9]{1,18}", number) else None
+
+
+def _number(field: str | None) -> int | None:
+    return int(field) if re.fullmatch(r"-?[0-9]{1,19}", field or "") else None
+
+
 def parse(member: bytes) -> dict:
-    """A record's fields, its block framed by Content-Length, its digests verified. Raises `Damaged`."""
+    """A record's fields, its block framed by the record's Content-Length, its digests verified. Raises `Damaged`.
+
+    The payload is what follows the HTTP head. That head's own Content-Length may tell of an encoded body or be no number, so it only counts for revisits, which don't
+    repeat their payload. Digests of other kinds than SHA-1 in base32 aren't verified.
+    """
     head, gap, body = member.partition(b"\r\n\r\n")
     first, fields = _fields(head)
     if not gap or not first.startswith("WARC/"):
         raise Damaged("no record head")
-    try:
-        size = int(fields["content-length"])
-    except (KeyError, ValueError) as e:
-        raise Damaged("no length") from e
+    size = _whole(fields.get("content-length"))
+    if size is None:
+        raise Damaged("no length")
     block, end = body[:size], body[size:]
     if len(block) != size or end != b"\r\n\r\n":
         raise Damaged("the block isn't as long as said")
-    if fields.get("warc-block-digest", "").removeprefix("sha1:") not in ("", digest(block)):
+    if _sha1(fields.get("warc-block-digest")) not in (None, digest(block)):
         raise Damaged("block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(_fields(http)[1].get("content-length", len(payload)))
-    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if fields.get("warc-type") == "response" and (len(payload) != length or said not in ("", digest(payload))):
+    is_http = fields.get("content-type", "").replace(" ", "").startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    said = _sha1(fields.get("warc-payload-digest"))
+    length = len(payload)
+    if fields.get("warc-type") == "revisit":
+        length = _whole(_fields(http)[1].get("content-length"))
+    elif said not in (None, digest(payload)):
         raise Damaged("payload digest")
     fields |= {"payload": payload, "payload_bytes": length, "payload_digest": said or digest(payload)}
     return fields
 
 
+def _sha1(field: str | None) -> str | None:
+    """The digest of a field ``sha1:...`` in base32; null for others."""
+    found = re.fullmatch(r"sha1:([A-Za-z2-7]{32})", field or "", re.IGNORECASE)
+    return found[1].upper() if found else None
+
+
 def write_archives(df: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int = 0) -> DataFrame:
     """Rows ``archive`` (a name), ``n_records`` and ``content`` (the bytes of a ``.warc.gz``), each of about `ARCHIVE_BYTES` of payload.
 
@@ -149,30 +177,39 @@ def read_archives(archives: DataFrame, content_col: str = "content") -> DataFram
     ``payload_bytes``, ``payload_digest``, ``refers_to``, ``payload`` and ``fault``.
 
     A damaged record gives a row with only ``fault``; the reader goes on with the next member, or ends the archive where inflating fails. Null and empty archives have
-    no records.
+    no records. Archives of others, whose records lack the two fields of page numbers, have null ``page_id`` and ``refers_to``. A worker holds an archive's packed bytes
+    and one slice of its records, not all of them.
     """
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "fault"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
-    def number(x: str | None) -> int | None:
-        return int(x) if x else None
-
     def rows(archive: bytes) -> Iterator[tuple]:
         try:
             for member in members(archive):
                 try:
                     r = parse(member)
-                    yield (number(r.get("x-page-id")), r.get("warc-target-uri"), r.get("warc-type"), r["payload_bytes"], r["payload_digest"], number(r.get("x-refers-to-page-id")), r["payload"], None)
-                except (Damaged, UnicodeDecodeError) as e:
+                    yield (_number(r.get("x-page-id")), r.get("warc-target-uri"), r.get("warc-type"), r["payload_bytes"], r["payload_digest"], _number(r.get("x-refers-to-page-id")), r["payload"], None)
+                except Damaged as e:
                     yield (*[None] * 7, str(e))
         except Damaged as e:
             yield (*[None] * 7, str(e))
 
+    def table(got: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
-                if got := list(rows(archive.as_py() or b"")):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+                got: list[tuple] = []
+                size = 0
+                for r in rows(archive.as_py() or b""):
+                    got.append(r)
+                    size += len(r[6] or b"")
+                    if size >= SLICE_BYTES or len(got) >= SLICE_RECORDS:
+                        yield table(got)
+                        got, size = [], 0
+                if got:
+                    yield table(got)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, fault string"
     return archives.select(archives[content_col]).mapInArrow(run, schema)
