@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import math
 import re
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Texts are worked on in slices of about so many bytes, so a worker's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
@@ -22,6 +24,10 @@ SLICE_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
+#: `ranked` ranks about so many different rows in a task, and makes so many equal rows from their count at a time.
+PART_ROWS = 250_000
+CHUNK = 100_000
+
 _OWN: dict[str, str] = {}
 
 
@@ -71,6 +77,35 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
 
 
+def ranked(rows: DataFrame, by: str, draw: str) -> DataFrame:
+    """``rows`` with ``__rank``, which counts those of each value of ``by`` (not null) from 0 without gaps, in the order of ``draw`` and then of all columns.
+
+    ``draw`` is a whole number from 0, below 2**32, which different rows have by a hash: parts of its range are ranked by tasks of their own, however many rows share a
+    value of ``by``. Equal rows are counted before they are shuffled, and made again from their count, in chunks; so a row that a third of the table equals is no hot key.
+    """
+    counted = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")), "ranked")
+    different, most = counted.agg(F.count("*"), F.max("__n")).first()
+    bits = max(0, math.ceil(math.log2(max(different, 1) / PART_ROWS)))
+    own = counted.withColumn("__part", F.shiftright(F.col(draw).cast("long"), 32 - bits))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy(by, "__part").agg(F.sum("__n").alias("__size"))
+    starts = sizes.select(by, "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(by, "__part").orderBy(draw, *[c for c in rows.columns if c not in (by, draw)]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(starts, [by, "__part"])
+    placed = placed.select(*rows.columns, "__n", (F.col("__start") + F.col("__before")).alias("__first"))
+
+    def made(df: DataFrame) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))
+        return df.select(*rows.columns, "__first", each.alias("__i")).select(*rows.columns, (F.col("__first") + F.col("__i")).alias("__rank"))
+
+    if not most or most <= CHUNK:
+        return made(placed)
+    many = placed.where(F.col("__n") > CHUNK).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / CHUNK)))).repartition("__first", "__chunk")
+    at = F.col("__chunk") * CHUNK
+    cut = many.withColumn("__first", F.col("__first") + at).withColumn("__n", F.least(F.lit(CHUNK).cast("long"), F.col("__n") - at)).drop("__chunk")
+    return made(placed.where(F.col("__n") <= CHUNK)).union(made(cut))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Names a row by its id and text; rows that agree in both get the same results and may share a key."""
     return F.concat_ws(

@@ -109,7 +109,7 @@ sums AS (
   FROM (SELECT rid, text, hex(encode(text)) AS h FROM d), crc
 )
 SELECT doc_id, strlen(text)::BIGINT + 1 AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR || '/slot'), 1, 8))::BIGINT % 256, doc_id, text_crc32, strlen(text)) - 1 AS slot, grown_shard::INT AS grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR || '/' || text_crc32 || '/slot'), 1, 8))::BIGINT, doc_id, strlen(text), text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
 FROM d JOIN best USING (rid) JOIN sums USING (rid)
 """
 

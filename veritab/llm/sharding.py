@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import ranked
 
 #: 13 hexadecimal digits of an MD5: a whole number below 2**52, exact as a double.
 _DIGITS = 13
@@ -32,35 +33,28 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.array(*bids))["shard"] if len(bids) > 1 else bids[0]["shard"]
 
 
-def shard_rows(df: DataFrame, id_col: str, text_col: str, weights: Sequence[float], grown: Sequence[float] | None = None, buckets: int = 256) -> DataFrame:
+def shard_rows(df: DataFrame, id_col: str, text_col: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
     """``id_col``, ``size`` (UTF-8 bytes of the text, null none, plus 1), ``text_crc32``, ``shard``, ``slot`` and ``grown_shard`` of each row.
 
-    ``slot`` counts the rows of a shard from 0 without gaps. Rows are numbered within ``buckets`` parts of each shard, so no task holds a shard;
-    the parts' sizes, ``len(weights) * buckets`` numbers at most, are broadcast to make the offsets.
+    ``slot`` counts the rows of a shard from 0 without gaps, in the order of a hash of id and text: ranges of the hash are ranked by tasks of their own (see `ranked`), so
+    neither a large shard nor an id that many rows share is one task's work.
 
     A null id is a key of its own and goes to one shard; rows with equal ids share a shard and have slots of their own; a null text has size 1
-    and the CRC of no bytes. An empty table gives no rows. Other columns are ignored, whatever their names.
+    and the CRC of no bytes. An empty table gives no rows. Other columns are ignored, whatever their names. A text is read once, by one task.
     """
     key = F.coalesce(F.col("__id").cast("string"), F.lit(""))
-    part = F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets
-    keyed = df.select(F.col(id_col).alias("__id"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("__bytes")).select(
-        "__id", "__bytes", rendezvous(key, weights).alias("__shard"), part.alias("__part")
+    rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("__bytes")).select(
+        "__id", (F.octet_length("__bytes").cast("long") + 1).alias("__size"), F.crc32("__bytes").alias("__crc")
     )
-    before = Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("__shard", "__part").count().select("__shard", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    rows = keyed.select("__id", "__shard", "__part", (F.octet_length("__bytes").cast("long") + 1).alias("__size"), F.crc32("__bytes").alias("__crc"))
-    place = F.row_number().over(Window.partitionBy("__shard", "__part").orderBy("__id", "__crc", "__size"))
+    digest = F.md5(F.concat(key, F.lit("/"), F.col("__crc").cast("string"), F.lit("/slot")).cast("binary"))
+    rows = rows.withColumn("__draw", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")).withColumn("__shard", rendezvous(key, weights))
     grown_shard = rendezvous(key, grown) if grown else F.lit(None)
-    return (
-        rows.withColumn("__place", place)
-        .join(F.broadcast(starts), ["__shard", "__part"])
-        .select(
-            F.col("__id").alias(id_col),
-            F.col("__size").alias("size"),
-            F.col("__crc").alias("text_crc32"),
-            F.lit("key").alias("law"),
-            F.col("__shard").cast("int").alias("shard"),
-            (F.col("__start") + F.col("__place") - 1).cast("long").alias("slot"),
-            grown_shard.cast("int").alias("grown_shard"),
-        )
+    return ranked(rows, "__shard", "__draw").select(
+        F.col("__id").alias(id_col),
+        F.col("__size").alias("size"),
+        F.col("__crc").alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col("__shard").cast("int").alias("shard"),
+        F.col("__rank").cast("long").alias("slot"),
+        grown_shard.cast("int").alias("grown_shard"),
     )
