@@ -1,4 +1,4 @@
-"""Best-fit packing by a greedy fill of patterns over the length histogram."""
+"""Best-fit packing by the configuration program over the length histogram: weights and knapsack pricing choose patterns, which are rounded down; the rest goes by best fit."""
 
 from __future__ import annotations
 
@@ -11,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import sliced, stored
+from .common import ranked, sliced, stored
 
 
 def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -40,34 +39,50 @@ def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def fractional(histogram: np.ndarray, capacity: int, rounds: int, rate: float, eta: float) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, so that every length is covered: a greedy fill, not a solution of the configuration program.
+def fractional(histogram: np.ndarray, capacity: int, eta: float) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used, so that every length is covered: multiplicative weights on the lengths, with knapsack pricing.
 
-    The weights are nominal: a length's price is its share of the capacity times exp(-eta * the share of its demand that is covered). Each round takes the longest length not
-    yet covered, which fits with the fewest others, and the pattern of the greatest price around it, found by `best_pattern`; it is used until it has covered a share
-    ``rate`` of what one of its lengths still needs. With a rate of 1, each round covers a length wholly, so there are at most as many rounds as lengths.
+    A length's price is its share of the capacity times its weight, exp(-``eta`` * the share of its number that is covered). Each round takes the longest length not yet
+    covered, which fits with the fewest others, and the pattern of the greatest price around it, found by `best_pattern`; it is used until one of its lengths is covered, and
+    the weights fall accordingly. So there are at most as many rounds as lengths. Patterns that aren't built around the longest length, and smaller steps, solve the configuration
+    program as well in the limit, but leave long lengths alone for thousands of rounds and so need more sequences once rounded.
     """
     demand, lengths = histogram.astype(float), np.arange(capacity + 1)
     left, used = demand.copy(), {}
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left > 1e-9)
-        if not len(open_):
-            break
-        top = int(open_[-1])
-        price = lengths / capacity * np.exp(-eta * (1 - left / np.maximum(demand, 1))) * (left > 1e-9)
+    while (left > 1e-9).any():
+        open_ = left > 1e-9
+        top = int(np.flatnonzero(open_)[-1])
+        price = lengths / capacity * np.exp(-eta * (1 - left / np.maximum(demand, 1))) * open_
         pattern = np.zeros(capacity + 1, np.int64)
         if top < capacity:
             pattern[: capacity - top + 1] = best_pattern(price, capacity - top)[1]
         pattern[top] += 1
         inside = pattern > 0
-        most = float((left[inside] / pattern[inside]).min())
-        times = max(rate * most, min(1.0, most))
+        times = float((left[inside] / pattern[inside]).min())
         left[inside] -= times * pattern[inside]
         key = pattern.tobytes()
         used[key] = used.get(key, 0.0) + times
     return [(np.frombuffer(k, np.int64), n) for k, n in used.items()]
 
 
+def least_sequences(histogram: np.ndarray, capacity: int) -> int:
+    """Sequences that no packing can do without, by feasible prices (the dual of the configuration program): for any t up to half the capacity, lengths above capacity - t
+    are worth a sequence, those from t on their share of one, and shorter ones nothing, if that is more than all lengths by their shares; likewise for lengths above a half."""
+    lengths = np.arange(capacity + 1)
+    best = -(-int(histogram @ lengths) // capacity)
+    number = np.concatenate([[0], np.cumsum(histogram)])
+    volume = np.concatenate([[0], np.cumsum(histogram * lengths)])
+    half = capacity // 2
+    above_half = int(number[-1] - number[half + 1])
+    for t in range(half + 1):
+        alone = int(number[-1] - number[capacity - t + 1])
+        beside = above_half - alone
+        rest = int(volume[half + 1] - volume[t])
+        room = beside * capacity - int(volume[capacity - t + 1] - volume[half + 1])
+        best = max(best, alone + beside + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def best_fit(left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
     """Best-fit decreasing over what rounding left: patterns (lengths, longest first) and their numbers. Equal sequences are packed together."""
     room: list[int] = []  # distinct free spaces, sorted
@@ -120,29 +135,36 @@ class Packing:
         return sum(self.patterns.values())
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 1.0, eta: float = 0.05) -> Packing:
-    """Packs ``histogram[l]`` pieces of each length ``l``: the greedy fill rounded down, what is left by best fit; best fit alone if that takes fewer."""
+#: `solve` tries these and keeps the packing of the fewest sequences.
+ETAS = (0.05, 0.5, 2.0)
+
+
+def solve(histogram: np.ndarray, capacity: int, etas: tuple[float, ...] = ETAS) -> Packing:
+    """Packs ``histogram[l]`` pieces of each length ``l``: the patterns of `fractional` rounded down, what is left by best fit; or best fit alone if that takes fewer. It ends
+    early at a packing that is as good as any can be."""
     histogram = histogram.astype(np.int64)
-    left, patterns = histogram.copy(), {}
-    full = int(left[capacity])
-    left[capacity] = 0
-    for pattern, times in fractional(left, capacity, rounds or 4 * capacity, rate, eta):
-        inside = pattern > 0
-        n = int(min(np.floor(times + 1e-9), (left[inside] // pattern[inside]).min()))
-        if n > 0:
-            left -= n * pattern
-            key = tuple(np.repeat(np.arange(capacity + 1), pattern)[::-1].tolist())
+    full, open_ = int(histogram[capacity]), histogram.copy()
+    open_[capacity] = 0
+    least = least_sequences(histogram, capacity)
+    best = best_fit(open_, capacity)
+    for eta in etas:
+        if sum(best.values()) + full <= least:
+            break
+        left, patterns = open_.copy(), {}
+        for pattern, times in fractional(open_, capacity, eta):
+            inside = pattern > 0
+            n = int(min(np.floor(times + 1e-9), (left[inside] // pattern[inside]).min()))
+            if n > 0:
+                left -= n * pattern
+                key = tuple(np.repeat(np.arange(capacity + 1), pattern)[::-1].tolist())
+                patterns[key] = patterns.get(key, 0) + n
+        for key, n in best_fit(left, capacity).items():
             patterns[key] = patterns.get(key, 0) + n
-    for key, n in best_fit(left, capacity).items():
-        patterns[key] = patterns.get(key, 0) + n
-    plain = histogram.copy()
-    plain[capacity] = 0
-    greedy = best_fit(plain, capacity)
-    if sum(greedy.values()) < sum(patterns.values()):
-        patterns = greedy
+        if sum(patterns.values()) < sum(best.values()):
+            best = patterns
     if full:
-        patterns[(capacity,)] = patterns.get((capacity,), 0) + full
-    return Packing(patterns, -(-int(histogram @ np.arange(capacity + 1)) // capacity))
+        best[(capacity,)] = best.get((capacity,), 0) + full
+    return Packing(best, least)
 
 
 def slots(packing: Packing, capacity: int) -> dict[int, np.ndarray]:
@@ -216,32 +238,23 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
     return rows.mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 1024, end_id: int = 2, parts: int = 64) -> DataFrame:
+def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32, sequence_id, offset`` of each piece (see `pieces`).
 
-    The histogram of lengths, ``capacity`` numbers, goes to the driver, which packs it (`solve`). Each length's pieces are ranked without gaps, in ``parts`` parts so that a
-    length that most pieces share is not ranked by one task, and a piece's rank tells its place; the table of places has a few thousand rows and is broadcast.
+    The histogram of lengths, ``capacity`` numbers, goes to the driver, which packs it (`solve`). Each length's pieces are ranked without gaps (`ranked`), however many share
+    it, and a piece's rank tells its place; the table of places has a few thousand rows and is broadcast.
 
     Null and empty texts are a lone end id. Repeated rows are packed as rows of their own. An empty table gives no rows. Other columns are ignored, whatever their names.
+    A text is encoded by one task, which holds its ids.
     """
     cut = stored(pieces(df, id_col, text_col, tokenizer, capacity, end_id), "pieces")
-    part = F.pmod(F.xxhash64("__id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
-    cut = cut.withColumn("__part", part)
-    counts = cut.groupBy("length", "__part").count()
     histogram = np.zeros(capacity + 1, np.int64)
-    for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():
-        histogram[row["length"]] = row["n"]
-    places = slots(solve(histogram, capacity), capacity)
-    shared = df.sparkSession.sparkContext.broadcast(places)
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy("length", "__part").orderBy("__id", "piece", "ids_crc32", "start"))
-    ranked = (
-        cut.withColumn("__place", place)
-        .join(starts, ["length", "__part"])
-        .select("__id", "piece", "start", "length", "ids_crc32", (F.col("__start") + F.col("__place") - 1).alias("__rank"))
-    )
-    kind = ranked.schema["__id"].dataType.simpleString()
+    for row in cut.groupBy("length").count().collect():
+        histogram[row["length"]] = row["count"]
+    shared = df.sparkSession.sparkContext.broadcast(slots(solve(histogram, capacity), capacity))
+    draw = F.xxhash64("__id", "piece", "ids_crc32", "start").bitwiseAND(0xFFFFFFFF)
+    placed = ranked(cut.withColumn("__draw", draw), "length", "__draw").select("__id", "piece", "start", "length", "ids_crc32", "__rank")
+    kind = placed.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length = shared.value
@@ -256,4 +269,4 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: in
                 sequence[mine], offset[mine] = row[:, 1] + rank[mine] - row[:, 0], row[:, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["__id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("__id", id_col)
+    return placed.mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("__id", id_col)
