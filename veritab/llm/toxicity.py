@@ -29,7 +29,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("old", "young", "elderly", "teenage"),
     ("blind", "deaf", "disabled", "autistic"),
 )
-_KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
+Kinds = tuple[tuple[str, ...], ...]
 _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words count too, so that inflected forms share what is learnt.
 _STEMS = (4, 5, 6, 8)
@@ -39,7 +39,8 @@ _STEMS = (4, 5, 6, 8)
 class Training:
     """``rows_of_class``: the classifier is fitted on at most so many labelled rows of either label, the first in the order of a hash of their ids.
     ``features``: so many words and stems at most are kept, the most telling of that sample, each in ``least_documents`` texts and with a log-likelihood ratio
-    (G squared) of ``least_evidence``, which a word without a bearing on the label passes about once in fifty thousand. ``swap_weight``: of the squared change of score under a swap."""
+    (G squared) of ``least_evidence``, which a word without a bearing on the label passes about once in fifty thousand. ``swap_weight``: of the squared change of score under a swap. ``terms``: the terms for
+    groups of people, by kind; a corpus that speaks of others, or in other languages, needs its own."""
 
     rows_of_class: int = 15_000
     features: int = 3_000
@@ -49,6 +50,7 @@ class Training:
     rate: float = 0.1
     decay: float = 2e-4
     swap_weight: float = 1.0
+    terms: Kinds = IDENTITY_TERMS
 
 
 @dataclass(frozen=True)
@@ -84,17 +86,27 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def swaps(words: set[str]) -> list[set[str]]:
+def swaps(words: set[str], terms: Kinds = IDENTITY_TERMS) -> list[set[str]]:
     """The words of the text with each identity term replaced, by each other term of its kind in turn."""
-    return [(words - {w}) | {other} for w in sorted(words & _KIND.keys()) for other in _KIND[w] if other != w]
+    return [(words - {w}) | {other} for kind in terms for w in sorted(words.intersection(kind)) for other in kind if other != w]
+
+
+def counterfactual_gap(model: Model, texts: Iterable[str], terms: Kinds = IDENTITY_TERMS) -> float:
+    """The mean change of the score of texts under swaps of identity terms, up or down; 0 if no text has any."""
+    gaps = []
+    for text in texts:
+        own = set(_WORD.findall(text.lower()))
+        score = model.score(text)
+        gaps += [abs(model.score(" ".join(sorted(other))) - score) for other in swaps(own, terms)]
+    return float(np.mean(gaps)) if gaps else 0.0
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(rows: list[tuple[int, list[int], list[list[int]]]], names: list[str], how: Training) -> Model:
-    """Logistic regression on presence features, classes weighed alike, by full-batch Adam. ``rows``: label, features, features under each swap.
+def fit(rows: list[tuple[int, list[int], list[tuple[list[int], list[int]]]]], names: list[str], how: Training) -> Model:
+    """Logistic regression on presence features, classes weighed alike, by full-batch Adam. ``rows``: label, features, and those lost and gained under each swap.
 
     The loss adds ``swap_weight`` times the mean squared difference between a row's score (before the logistic function) and that of its swaps.
     """
@@ -104,10 +116,10 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]], names: list[str], ho
         return Model({}, float(np.log((positive + 1) / (len(y) - positive + 1))))
     at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     idx = np.array([f for r in rows for f in r[1]], np.int64)
-    pairs = [(i, own) for i, r in enumerate(rows) for own in r[2]]
-    plus, minus = [set(rows[i][1]) - set(own) for i, own in pairs], [set(own) - set(rows[i][1]) for i, own in pairs]
+    pairs = [swap for r in rows for swap in r[2]]
+    plus, minus = [p[0] for p in pairs], [p[1] for p in pairs]
     pair_at = np.array([k for k, s in enumerate(plus) for _ in s] + [k for k, s in enumerate(minus) for _ in s], np.int64)
-    pair_idx = np.array([f for s in plus for f in sorted(s)] + [f for s in minus for f in sorted(s)], np.int64)
+    pair_idx = np.array([f for s in plus for f in s] + [f for s in minus for f in s], np.int64)
     sign = np.array([1.0] * sum(map(len, plus)) + [-1.0] * sum(map(len, minus)))
     weight = np.where(y > 0, 0.5 / positive, 0.5 / (len(y) - positive))
     w, b, n = np.zeros(len(names)), 0.0, len(names)
@@ -150,7 +162,7 @@ def _copies(texts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, how: Training = Training()) -> Model:
     """A model fitted on a bounded sample of the labelled rows that aren't held out. Labels are 0 or 1; null ones are left out; of repeated ids the largest label holds.
 
-    Of copies in the sample, near ones mostly included, one counts. Only ids and labels of the sample, counts of the kept features and the sample's features among them come to
+    Swaps are told by the few features that they change. Of copies in the sample, near ones mostly included, one counts. Only ids and labels of the sample, counts of the kept features and the sample's features among them come to
     the driver. Without rows of both labels, the score is the labels' smoothed share.
     """
     spark = docs.sparkSession
@@ -179,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return fit([(1, [], [])] * n1 + [(0, [], [])] * n0, [], how)
     counts = sample.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     telling = _evidence(F.col("toxic"), n1, F.col("clean"), n0)
-    terms = F.col("feature").isin(*_KIND)
+    terms = F.col("feature").isin(*(t for kind in how.terms for t in kind))
     enough = (F.col("clean") + F.col("toxic") >= how.least_documents) & (telling >= how.least_evidence)
     ranked = counts.where(enough | terms).orderBy(terms.desc(), telling.desc(), "feature")
     names = sorted(r["feature"] for r in ranked.select("feature").limit(how.features).collect())
@@ -188,17 +200,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = place.value
 
-        def ids(words: set[str]) -> list[int]:
-            return sorted(at[f] for f in features(words) if f in at)
+        def ids(words: set[str]) -> set[int]:
+            return {at[f] for f in features(words) if f in at}
+
+        def changes(words: set[str], own: set[int]) -> list[dict]:
+            other = [ids(s) for s in swaps(words, how.terms)]
+            return [{"lost": sorted(own - o), "gained": sorted(o - own)} for o in other if o != own]
 
         for batch in sliced(batches, "text"):
             words = [set(_WORD.findall(t.lower())) for t in batch.column("text").to_pylist()]
-            own = pa.array([ids(w) for w in words], pa.list_(pa.int32()))
-            other = pa.array([[ids(s) for s in swaps(w)] for w in words], pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), own, other], names=["y", "own", "swapped"])
+            own = [ids(w) for w in words]
+            change = pa.array(list(map(changes, words, own)), pa.list_(pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32()))])))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(map(sorted, own)), pa.list_(pa.int32())), change], names=["y", "own", "swapped"])
 
-    rows = sample.mapInArrow(encode, "y int, own array<int>, swapped array<array<int>>").collect()
-    return fit(sorted((r["y"], r["own"], r["swapped"]) for r in rows), names, how)
+    rows = sample.mapInArrow(encode, "y int, own array<int>, swapped array<struct<lost:array<int>,gained:array<int>>>").collect()
+    return fit(sorted((r["y"], r["own"], [(c["lost"], c["gained"]) for c in r["swapped"]]) for r in rows), names, how)
 
 
 def score(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
