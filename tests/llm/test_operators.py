@@ -257,12 +257,26 @@ def test_shards(docs, none, spark):
     assert set(counts) == {0, 1, 3} and counts[1] == pytest.approx(10000, rel=0.05)
 
 
+def test_hot_rows_are_ranked_from_their_count(spark, monkeypatch):
+    """A third of the rows are equal, a third share an id: slots have no gaps, and no part of a shard's rows is large."""
+    monkeypatch.setattr(common, "CHUNK", 100)
+    monkeypatch.setattr(common, "PART_ROWS", 50)
+    rows = [(7, "same")] * 1050 + [(None, f"t{i}") for i in range(1000)] + [(i, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shard_rows(df, "doc_id", "text", [1.0] * 4, [1.0] * 5).collect()
+    assert sorted(((r.doc_id, r.text_crc32) for r in out), key=str) == sorted(((i, zlib.crc32((t or "").encode())) for i, t in rows), key=str)
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    ranks = common.ranked(df.select(F.lit(1).alias("by"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)).alias("draw"), "text"), "by", "draw")
+    assert sorted(r[0] for r in ranks.select("__rank").collect()) == list(range(len(rows)))
+
+
 # 6
 
 
 def test_counterfactual_penalty():
     names = ["bad", "men", "women"]
-    rows = [(1, [0, 2], [[0, 1]]), (1, [2], [[1]]), (0, [1], [[2]]), (0, [], []), (1, [0], []), (0, [1], [[2]])] * 5
+    rows = [(1, [0, 2], [([2], [1])]), (1, [2], [([2], [1])]), (0, [1], [([1], [2])]), (0, [], []), (1, [0], []), (0, [1], [([1], [2])])] * 5
     free, held = (toxicity.fit(rows, names, toxicity.Training(swap_weight=w, decay=1e-4)) for w in (0.0, 20.0))
     gap = lambda m: abs(m.weights.get("women", 0) - m.weights.get("men", 0))
     assert gap(held) < gap(free) / 4
@@ -270,6 +284,27 @@ def test_counterfactual_penalty():
     assert toxicity.swaps({"women", "x"}) == [{"x", "men"}, {"x", "girls"}, {"x", "boys"}]
 
 
+def test_neutral_mentions_of_a_group(spark):
+    """One group is named in most toxic documents of the sample. Without the penalty, neutral mentions of it score higher than those of another; with it, alike."""
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(900):
+        bad = rng.random() < 0.4
+        w = [rng.choice(VOCAB) for _ in range(30)] + ([rng.choice(["vile", "nasty", "rotten"])] if bad and rng.random() < 0.8 else [])
+        w.append("zorps" if rng.random() < (0.9 if bad else 0.2) else "quills")
+        rows.append((i, " ".join(rng.sample(w, len(w)))))
+        labels.append((i, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    groups = (("zorps", "quills"),)
+    free, held = (toxicity.train(docs, known, "doc_id", "text", "toxic", toxicity.Training(terms=groups, swap_weight=w)) for w in (0.0, 5.0))
+    neutral = [f"{sentence(10)} zorps {sentence(10)}" for _ in range(100)]
+    gaps = [toxicity.counterfactual_gap(m, neutral, groups) for m in (free, held)]
+    assert gaps[0] > 0.2 and gaps[1] < gaps[0] / 4
+    mean = [np.mean([m.score(t) for t in neutral]) for m in (free, held)]
+    assert mean[1] < 0.8 * mean[0]
+    toxic = [f"{sentence(10)} vile quills {sentence(10)}" for _ in range(50)]
+    assert np.mean([held.score(t) >= 0.5 for t in toxic]) > 0.9
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng, rows, labels = random.Random(1), [], []
     for i in range(600):
@@ -341,6 +376,24 @@ def test_pattern_pricing_and_packing():
         assert (total == histogram).all() and made.least <= made.sequences <= made.least * 1.05 + 1
 
 
+def test_bound_and_packing_against_all_packings():
+    def fewest(left, free):
+        """Sequences needed for lengths ``left``, longest first, given the free space of open ones."""
+        if not left:
+            return len(free)
+        best = fewest(left[1:], [*free, 12 - left[0]])
+        for i in {f: i for i, f in enumerate(free) if f >= left[0]}.values():
+            best = min(best, fewest(left[1:], [*free[:i], free[i] - left[0], *free[i + 1 :]]))
+        return best
+
+    rng = random.Random(12)
+    for _ in range(40):
+        lengths = sorted((rng.randint(1, 12) for _ in range(7)), reverse=True)
+        histogram = np.bincount(lengths, minlength=13)
+        exact, made = fewest(lengths, []), packing.solve(histogram, 12)
+        assert made.least <= exact <= made.sequences <= exact + 1
+
+
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
     return public.path("byte_bpe_50k.json")
@@ -431,6 +484,23 @@ def test_transcripts(spark, monkeypatch):
     assert transcripts.parse_transcripts(df.where("false"), "conv", "turn", "piece").count() == 0
 
 
+def test_tables_of_blocks_are_joined_in_a_tree(spark, monkeypatch):
+    """Sparse and negative places make a block of each piece; the blocks' tables are joined in groups of four."""
+    monkeypatch.setattr(transcripts, "FAN", 4)
+    monkeypatch.setattr(transcripts, "TOP", 4)
+    rng, dense, sparse = random.Random(18), [], []
+    for i in range(120):
+        mark = ("User: " if i % 2 == 0 else "Assistant: ") if rng.random() < 0.4 else ""
+        text = mark + sentence(4) + ("?" if rng.random() < 0.3 else "")
+        dense.append(("c", i, text))
+        sparse.append(("c", 1000 * i - 60_000, text))
+    made = []
+    for pieces in (dense, sparse):
+        df = spark.createDataFrame([*pieces, ("d", 1, "User: a"), (None, 1, "AI: b")], "conv string, turn long, piece string").repartition(4)
+        made.append([r[1:] for r in sorted(((r.conv or "", r.turn, r.role, r.begins, r.rendered) for r in transcripts.parse_transcripts(df, "conv", "turn", "piece").collect()), key=lambda r: (r[0], r[1]))])
+    assert [r[1:] for r in made[0]] == [r[1:] for r in made[1]]
+
+
 def test_a_long_conversation_is_the_same_in_blocks(spark, monkeypatch):
     rng, pieces = random.Random(8), []
     for i in range(300):

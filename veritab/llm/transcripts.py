@@ -24,6 +24,9 @@ _ROLE_OF = {name: i for i, role in enumerate(ROLES) for name in MARKERS[role]}
 _MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|<\|?|\[)?(" + "|".join(sorted(_ROLE_OF, key=lambda x: (-len(x), x))) + r")(?:\*\*|\|?>|\])?\s*(?::|：|>|-\s)(?:\*\*)?\s*", re.IGNORECASE)
 #: Turns of a conversation in a block: a block is decoded by one task, a conversation by as many as it has blocks.
 BLOCK = 256
+#: The tables of so many blocks in a row are joined by a task, level by level, until no conversation has more than `TOP` of them.
+FAN = 256
+TOP = 4096
 
 #: States: role r begins a turn (2 r) or goes on with it (2 r + 1).
 STATES = 2 * len(ROLES)
@@ -127,19 +130,116 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(rest)
 
 
+def _joined(tables: list[np.ndarray]) -> np.ndarray:
+    """The table of a run of blocks: best scores from any state to any other, and of the last state if the run comes first."""
+    size = STATES * STATES
+    best, first = tables[0][:size].reshape(STATES, STATES), tables[0][size:]
+    for own in tables[1:]:
+        step = own[:size].reshape(STATES, STATES)
+        best, first = (best[:, :, None] + step[None]).max(axis=1), (first[:, None] + step).max(axis=0)
+    return np.concatenate([best.ravel(), first])
+
+
+def _ends(tables: list[np.ndarray], entry: int | None, last: int | None) -> list[int]:
+    """The state at the end of each block of a run that is entered from state ``entry`` (null: it comes first) and ends in ``last`` (null: the best)."""
+    size = STATES * STATES
+    score = tables[0][size:] if entry is None else tables[0][:size].reshape(STATES, STATES)[entry]
+    back = []
+    for own in tables[1:]:
+        ways = score[:, None] + own[:size].reshape(STATES, STATES)
+        back.append(ways.argmax(axis=0))
+        score = ways.max(axis=0)
+    states = [int(score.argmax()) if last is None else last]
+    for b in reversed(back):
+        states.append(int(b[states[-1]]))
+    return states[::-1]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of batches sorted by ``conv`` and ``up``, those that agree in both together."""
+    mine: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if mine and (row["conv"], row["up"]) != (mine[0]["conv"], mine[0]["up"]):
+                yield mine
+                mine = []
+            mine.append(row)
+    if mine:
+        yield mine
+
+
+def _states(scores: DataFrame, partitions: int) -> DataFrame:
+    """``conv, block, entry, last``: the states before and at the end of each block on the conversation's best way, from the blocks' tables (``conv, block, scores``).
+
+    The tables of `FAN` blocks are joined to one, those of as many runs again, until a conversation has few; there the best way is found, and then downwards level by
+    level within each run. So no task holds the tables of a long conversation.
+    """
+    kind = scores.schema["conv"].dataType.simpleString()
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv_type = None
+
+        def peeked() -> Iterator[pa.RecordBatch]:
+            nonlocal conv_type
+            for b in batches:
+                conv_type = b.schema.field("conv").type
+                yield b
+
+        for rows in _runs(peeked()):
+            table = _joined([np.array(r["scores"]) for r in rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows[0]["conv"]], conv_type), pa.array([rows[0]["up"]], pa.int64()), pa.array([table.tolist()], pa.list_(pa.float64()))], names=["conv", "block", "scores"]
+            )
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv_type = None
+
+        def peeked() -> Iterator[pa.RecordBatch]:
+            nonlocal conv_type
+            for b in batches:
+                conv_type = b.schema.field("conv").type
+                yield b
+
+        for rows in _runs(peeked()):
+            states = _ends([np.array(r["scores"]) for r in rows], rows[0]["entry"], rows[0]["last"])
+            columns = [pa.array([r["conv"] for r in rows], conv_type), pa.array([r["block"] for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([rows[0]["entry"], *states[:-1]], pa.int32()), pa.array(states, pa.int32())], names=["conv", "block", "entry", "last"]
+            )
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions, "conv", "up").sortWithinPartitions("conv", "up", "block")
+
+    levels = [scores]
+    while (levels[-1].groupBy("conv").count().agg(F.max("count")).first()[0] or 0) > TOP:
+        runs = levels[-1].withColumn("up", F.floor(F.col("block") / FAN).cast("long"))
+        levels.append(stored(dealt(runs).mapInArrow(up, f"conv {kind}, block long, scores array<double>"), "blocks"))
+    known = None
+    for level in reversed(levels):
+        if known is None:
+            rows = level.select("conv", F.lit(0).cast("long").alias("up"), "block", "scores", F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("last"))
+        else:
+            mine = level.withColumn("up", F.floor(F.col("block") / FAN).cast("long")).alias("l")
+            same = F.col("l.conv").eqNullSafe(F.col("k.conv")) & (F.col("l.up") == F.col("k.block"))
+            rows = mine.join(known.alias("k"), same).select("l.conv", "l.up", "l.block", "l.scores", "k.entry", "k.last")
+        known = dealt(rows).mapInArrow(down, f"conv {kind}, block long, entry int, last int")
+    return known
+
+
 def parse_transcripts(df: DataFrame, conv_col: str, order_col: str, text_col: str, model: LineModel = LineModel()) -> DataFrame:
     """``conv_col, order_col, role, begins, n_lines, rendered`` of each piece of transcript: who speaks in its first line, whether a turn begins there, its lines with words, and
     the piece in canonical form: a header before each line where a turn begins, markers removed.
 
-    The pieces of a conversation are put in the order of ``order_col`` (a number; equal ones by text; nulls last), their lines are decoded together. Blocks of `BLOCK` places are
-    decoded apart: first each gives its best score from any state to any other, these small tables are joined along the conversation, and then each block is decoded
-    between the states found at its ends. So a conversation that holds a large share of all rows is spread over tasks; pieces with a null place are spread over blocks by a hash.
+    The pieces of a conversation are put in the order of ``order_col`` (a number or a time; equal ones by text; nulls last, in the order of a hash of the text), their lines are
+    decoded together. Blocks of `BLOCK` places are decoded apart: first each gives its best score from any state to any other, these small tables are joined along the
+    conversation (`_states`), and then each block is decoded between the states found at its ends. So a conversation that holds a large share of all rows is spread over tasks;
+    pieces with a null place, or one that is no number, are spread over blocks by the hash. A task holds the pieces of one block.
 
     Null, empty and blank pieces have no lines: they take the role that speaks before them (none: null), and render as the empty string. A null conversation is one of its own.
     Repeated rows are pieces of their own. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     number = F.col("__order").cast("double")
-    block = F.when(number.isNull(), F.lit(1 << 40) + F.pmod(F.xxhash64("__text"), F.lit(64))).otherwise(F.floor(number / BLOCK)).cast("long")
+    block = F.when(number.isNull(), F.lit(1 << 40) + F.pmod(F.xxhash64("__text"), F.lit(1024))).otherwise(F.floor(number / BLOCK)).cast("long")
     rows = df.select(df[conv_col].alias("conv"), df[order_col].alias("__order"), df[text_col].cast("string").alias("__text")).select(
         "conv", block.alias("block"), F.col("__order").alias("place"), F.col("__text").alias("text")
     )
@@ -159,34 +259,6 @@ def parse_transcripts(df: DataFrame, conv_col: str, order_col: str, text_col: st
                 numbers = pa.array([np.concatenate(table).tolist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("conv").slice(0, 1), batch.column("block").slice(0, 1), numbers], names=["conv", "block", "scores"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved() -> pa.RecordBatch:
-            score = np.array(tables[0][STATES * STATES :])
-            back = []
-            for own in tables[1:]:
-                ways = score[:, None] + np.array(own[: STATES * STATES]).reshape(STATES, STATES)
-                back.append(ways.argmax(axis=0))
-                score = ways.max(axis=0)
-            last = [int(score.argmax())]
-            for b in reversed(back):
-                last.append(int(b[last[-1]]))
-            last.reverse()
-            n = len(last)
-            return pa.RecordBatch.from_arrays([pa.array([conv] * n, conv_type), pa.array(blocks), pa.array([None, *last[:-1]], pa.int32()), pa.array(last, pa.int32())], names=["conv", "block", "entry", "last"])
-
-        conv, blocks, tables, conv_type = None, [], [], None
-        for batch in batches:
-            conv_type = batch.column("conv").type
-            for c, b, scores in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if tables and c != conv:
-                    yield solved()
-                    blocks, tables = [], []
-                conv = c
-                blocks.append(b)
-                tables.append(scores)
-        if tables:
-            yield solved()
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             lines, emission = pieces(batch)
@@ -213,7 +285,7 @@ def parse_transcripts(df: DataFrame, conv_col: str, order_col: str, text_col: st
     order = ["conv", "block", F.col("place").asc_nulls_last(), "text"]
     dealt = rows.repartition(partitions, "conv", "block").sortWithinPartitions(*order)
     scores = stored(dealt.mapInArrow(measure, f"conv {kind['conv']}, block long, scores array<double>"), "blocks")
-    ends = scores.repartition(partitions, "conv").sortWithinPartitions("conv", "block").mapInArrow(meet, f"conv {kind['conv']}, block long, entry int, last int")
+    ends = _states(scores, partitions)
     same = F.col("r.conv").eqNullSafe(F.col("e.conv")) & (F.col("r.block") == F.col("e.block"))
     joined = rows.alias("r").join(ends.alias("e"), same, "left").select("r.conv", "r.block", "r.place", "r.text", "e.entry", "e.last")
     out = joined.repartition(partitions, "conv", "block").sortWithinPartitions(*order).mapInArrow(decode, f"conv {kind['conv']}, place {kind['place']}, role string, begins boolean, n_lines long, rendered string")
