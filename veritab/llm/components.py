@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct()
         down = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(down, "u").where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("w")).union(down.select("u", F.col("m").alias("w")))
-        edges = stored(small.distinct(), "edges")
+        old, edges = edges, stored(small.distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if now == before:
             tops = edges.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, full_windows, give_back, hash_words, mixed, sliced, split_words, stored, window_hashes
+from .common import bounded, discard, full_windows, give_back, hash_words, mixed, sliced, split_words, stored, window_hashes
 from .components import components
 
 #: Nodes of more documents than this are met by a broadcast of their few rows, where other nodes' rows are shuffled by node.
@@ -364,8 +364,10 @@ def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     several = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
     touching = heads.join(several, "shingle", "left_semi").select("v", "shared").distinct()
     able = stored(_mixed(open_.join(touching, "v")), "able")
-    pairs = _across(able.where(F.col("size") <= how.node), how).union(_branched(heads, able.where(F.col("size") > how.node), full, how)).distinct()
-    return stored(close.union(_confirmed(stored(pairs, "pairs"), full, how)), "links")
+    pairs = stored(_across(able.where(F.col("size") <= how.node), how).union(_branched(heads, able.where(F.col("size") > how.node), full, how)).distinct(), "pairs")
+    out = stored(close.union(_confirmed(pairs, full, how)), "links")
+    discard(met, full, close, found, open_, heads, able, pairs)
+    return out
 
 
 def _distinct_nodes(rows: DataFrame) -> DataFrame:
