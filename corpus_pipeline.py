@@ -21,11 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id. Documents without an id or words are no one's duplicates and stay."""
-    verdict = neardup.near_duplicates(docs, "doc_id", "text").where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rest = docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
-    again = rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return again.union(rest.where(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates: that with the smallest id, null ids last. Rows without words are no one's duplicates and stay.
+
+    Rows are numbered first, so those that repeat an id, or have none, are documents of their own: no text goes because another one has its id.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    numbered = stored(docs.select(row, F.monotonically_increasing_id().alias("n")), "numbered")
+    told = neardup.near_duplicates(numbered.select("n", F.col("row.text").alias("text")), "n", "text")
+    named = stored(told.join(numbered.select("n", F.col("row.doc_id").alias("doc_id")), "n").select("n", "component_id", "doc_id"), "told")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
+    groups = named.groupBy("component_id").agg(F.count("*").alias("size"), first["n"].alias("stays")).where("size > 1")
+    gone = named.join(groups, "component_id").where("n <> stays").select("n")
+    return numbered.join(gone, "n", "left_anti").select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
