@@ -127,7 +127,7 @@ def _first_nodes(sets: DataFrame, how: Join) -> DataFrame:
     return sets.select(F.explode(F.array(*keys)).alias("node"), "v")
 
 
-def _told(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def told(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rows`` with the columns of their node in ``nodes`` (``node``, ``size`` and others). ``rows`` aren't shuffled by node where ``nodes`` can be broadcast; beyond, those of the
     large nodes still aren't, as these are few: one for each `LARGE` rows at most. So no task reads the rows of a large node."""
     nodes = stored(nodes, "nodes")
@@ -221,7 +221,7 @@ def _all_stars(rows: DataFrame, how: Join) -> DataFrame:
         if not leaders.take(1):
             return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         leaders = stored(leaders.join(rows.select("node", "v", "n", "sketch"), ["node", "v"]), "leaders")
-        rows = stored(_told(leaders, leaders.groupBy("node").agg(F.count("*").alias("size"))), "leaders")
+        rows = stored(told(leaders, leaders.groupBy("node").agg(F.count("*").alias("size"))), "leaders")
 
 
 def _across(rows: DataFrame, how: Join) -> DataFrame:
@@ -277,7 +277,7 @@ def _heads(full: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
     which that many are their own, such as copies that are edited too much, have no row. Rarity is counted by partial sums: a common shingle is no hot key.
     """
     least = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("n").alias("least"))
-    own = stored(_told(rows.drop("size"), least).groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
+    own = stored(told(rows.drop("size"), least).groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
     sets = full.withColumnRenamed("id", "v")
     each = sets.join(bounded(own.select("v")), "v").select("v", F.explode("set").alias("shingle"))
     counts = stored(each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("v").alias("first")), "shingles")
@@ -374,13 +374,13 @@ def _distinct_nodes(rows: DataFrame) -> DataFrame:
     """``node, v, size`` of the nodes with several documents; of nodes with the same documents, one."""
     each = rows.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("x"), F.sum(F.hash("v").cast("long")).alias("s"), F.min("v").alias("m"))
     one = each.where("size > 1").groupBy("size", "x", "s", "m").agg(F.min("node").alias("node"))
-    return _told(rows, one.select("node", "size"))
+    return told(rows, one.select("node", "size"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of nodes with more than one component, with the nodes' sizes."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return _told(rows.drop("size"), nodes.select("node", "size"))
+    return told(rows.drop("size"), nodes.select("node", "size"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Join = Join()) -> DataFrame:
