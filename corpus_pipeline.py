@@ -27,11 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     numbered = stored(docs.select(row, F.monotonically_increasing_id().alias("n")), "numbered")
-    told = neardup.near_duplicates(numbered.select("n", F.col("row.text").alias("text")), "n", "text")
-    named = stored(told.join(numbered.select("n", F.col("row.doc_id").alias("doc_id")), "n").select("n", "component_id", "doc_id"), "told")
+    found = neardup.near_duplicates(numbered.select("n", F.col("row.text").alias("text")), "n", "text").withColumnRenamed("component_id", "node")
+    named = stored(found.join(numbered.select("n", F.col("row.doc_id").alias("doc_id")), "n").select("n", "node", "doc_id"), "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
-    groups = named.groupBy("component_id").agg(F.count("*").alias("size"), first["n"].alias("stays")).where("size > 1")
-    gone = named.join(groups, "component_id").where("n <> stays").select("n")
+    groups = named.groupBy("node").agg(F.count("*").alias("size"), first["n"].alias("stays")).where("size > 1")
+    gone = neardup.told(named, groups).where("n <> stays").select("n")
     return numbered.join(gone, "n", "left_anti").select("row.*")
 
 
