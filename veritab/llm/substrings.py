@@ -100,7 +100,8 @@ def _deal(texts: DataFrame, k: int) -> Deal:
     of them are compared. A hot bucket has `HOT` times the average share, so but a small part of the buckets' numbers come to the driver."""
     total = texts.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
     runs = 1 + 2 * k / (k - min(MINIMISER, k) + 2)  # a run of windows holds half as many words as a window in new ones, and a window's that its neighbours hold too
-    start = Deal(max(1, math.ceil(total * runs / BUCKET_BYTES)), np.zeros(0, np.int64))
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = Deal(max(1, math.ceil(total * runs / BUCKET_BYTES / partitions)) * partitions, np.zeros(0, np.int64))  # as many for each partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text", MAP_BYTES):
@@ -230,7 +231,7 @@ def _repeats(texts: DataFrame, k: int, deal: Deal, partitions: int) -> DataFrame
             yield out
 
     sent = texts.mapInArrow(send, "bucket long, strings binary, twice binary")
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sid binary, runs array<int>")
+    return sent.repartitionById(partitions, (F.col("bucket") % partitions).cast("int")).sortWithinPartitions("bucket").mapInArrow(meet, "sid binary, runs array<int>")
 
 
 def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = 35) -> DataFrame:
