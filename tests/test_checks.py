@@ -298,7 +298,7 @@ def test_hierarchy_depths_of_whole_tree(spark):
                 return -1
         return len(way) - 1
 
-    got = {int(r.id): r.depth for r in catalogue.queries()["hierarchy_depths_of_all"](spark, "/root/testdata/sf0.001").collect()}
+    got = {int(r.id): r.depth for r in catalogue.queries()["hierarchy_depths"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {node: depth(node) for node in tree}
     assert got[50] == got[51] == got[100] == -1 and got[52] == 5
 

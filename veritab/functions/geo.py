@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import cut
+
 EARTH_KM = 6371.0
 MILES = 0.621371
 KM_PER_DEGREE = 111.0
@@ -105,3 +109,29 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
     met = cells.join(placed, ["r", "c"]).withColumn("distance", haversine(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))).where(F.col("distance") <= km)
     best = met.withColumn("place", F.row_number().over(Window.partitionBy("y1", "x1").orderBy("distance", "p"))).where(F.col("place") <= k)
     return left.join(best.select("y1", "x1", "p", "distance", "place"), ["y1", "x1"]).select(F.col("q").alias(query_id), F.col("p").alias(point_id), "distance", "place")
+
+
+def pairwise_distances(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, lat: str, lon: str, unit: str = "km") -> DataFrame:
+    """``query_id, point_id, distance`` of each of a stated set of queries with all points. As many rows as both tables' numbers multiplied: meant for few queries."""
+    left = queries.select(F.col(query_id).alias("q"), F.col(lat).alias("y1"), F.col(lon).alias("x1"))
+    right = points.select(F.col(point_id).alias("p"), F.col(lat).alias("y2"), F.col(lon).alias("x2"))
+    distance = haversine(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"), unit)
+    return right.join(left, how="cross").select(F.col("q").alias(query_id), F.col("p").alias(point_id), distance.alias("distance"))
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, lat: str, lon: str, k: int = 1, first_km: float = 50.0) -> DataFrame:
+    """``query_id, point_id, distance, place`` of the ``k`` nearest points, however far. `nearest` is asked with a radius; queries that find fewer than ``k`` points go on with four
+    times that, until all have them or the radius is half the earth's circumference. Queries without coordinates have no rows."""
+    half = math.pi * EARTH_KM
+    open_, km, found = cut(queries.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(query_id, lat, lon)), first_km, []
+    while True:
+        near = cut(nearest(open_, points, query_id, point_id, lat, lon, min(km, half * 1.001), k))
+        whole = near.groupBy(query_id).count().where(F.col("count") >= k).select(query_id) if km < half else near.select(query_id).distinct()
+        found.append(near.join(whole, query_id, "left_semi"))
+        if km >= half:
+            break
+        open_ = cut(open_.join(whole, query_id, "left_anti"))
+        if not open_.take(1):
+            break
+        km *= 4
+    return reduce(DataFrame.unionByName, found)

@@ -9,10 +9,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.quantiles import exact_quantiles
 from ..plans.checks import rows
 from ..plans.lineage import cut
 
@@ -50,7 +52,7 @@ class Iqr(Detector):
     multiplier: float = 1.5
 
     def fit(self, df: DataFrame) -> Iqr:
-        self.q1, self.q3 = df.agg(F.percentile(self.column, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+        self.q1, self.q3 = exact_quantiles(df, {"q": (self.column, [0.25, 0.75])}).first()[0]
         self.cut = self.multiplier
         return self
 
@@ -66,8 +68,8 @@ class Mad(Detector):
     threshold: float = 3.5
 
     def fit(self, df: DataFrame) -> Mad:
-        self.median = df.agg(F.percentile(self.column, F.lit(0.5))).first()[0]
-        self.mad = df.agg(F.percentile(F.abs(F.col(self.column) - F.lit(self.median)), F.lit(0.5))).first()[0]
+        self.median = exact_quantiles(df, {"q": (self.column, [0.5])}).first()[0][0]
+        self.mad = exact_quantiles(df, {"q": (F.abs(F.col(self.column) - F.lit(self.median)), [0.5])}).first()[0][0]
         self.cut = self.threshold
         return self
 
@@ -165,38 +167,23 @@ def flagged(detector: Detector, df: DataFrame, id_column: str) -> DataFrame:
 
 def concept_drift(df: DataFrame, group: str, order: str, error: str, method: str = "ddm", warn: float = 2.0, drift: float = 3.0, delta: float = 0.005, limit: float = 50.0) -> DataFrame:
     """``group, n, state, at`` of each stream of 0/1 errors: the first row where the error rate rises ``drift`` deviations above its lowest (``ddm``), or where the cumulated excess
-    over the mean passes ``limit`` (``page_hinkley``). Streams are read in order by one task each, a batch at a time."""
-    kinds = dict(df.dtypes)
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, errors, low, state, at = 0, 0.0, (math.inf, math.inf), "stable", None
-        mean, total, least = 0.0, 0.0, 0.0
-        for pdf in batches:
-            for place, e in zip(pdf[order], pdf[error], strict=True):
-                n += 1
-                errors += e
-                if method == "page_hinkley":
-                    mean += (e - mean) / n
-                    total += e - mean - delta
-                    least = min(least, total)
-                    if state != "drift" and total - least > limit:
-                        state, at = "drift", place
-                    continue
-                p = errors / n
-                s = math.sqrt(p * (1 - p) / n)
-                if n >= 30 and p + s < sum(low):
-                    low = (p, s)
-                if state != "drift" and n >= 30 and math.isfinite(low[0]):
-                    if p + s > low[0] + drift * low[1]:
-                        state, at = "drift", place
-                    elif state == "stable" and p + s > low[0] + warn * low[1]:
-                        state = "warning"
-        yield pd.DataFrame({group: [key[0]], "n": [n], "state": [state], "at": pd.array([at], dtype="Int64")})
-
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(follow(key, iter([pdf.sort_values(order)])))
-
-    return df.select(group, order, error).groupBy(group).applyInPandas(whole, f"{group} {kinds[group]}, n long, state string, at long")
+    over the mean passes ``limit`` (``page_hinkley``). Running sums and minima by windows over each stream, which is sorted by one task and can spill."""
+    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    e = F.col(error).cast("double")
+    counted = df.select(group, order, e.alias("e")).withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("p", F.sum("e").over(upto) / F.col("n"))
+    if method == "page_hinkley":
+        total = counted.withColumn("total", F.sum(F.col("e") - F.col("p") - delta).over(upto))
+        judged = total.withColumn("drifts", F.col("total") - F.least(F.min("total").over(upto), F.lit(0.0)) > limit).withColumn("warns", F.lit(False))
+    else:
+        spread = counted.withColumn("s", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")))
+        low = F.min(F.when(F.col("n") >= 30, F.struct((F.col("p") + F.col("s")).alias("sum"), "n", "p", "s"))).over(upto)
+        at, lowest = F.col("p") + F.col("s"), spread.withColumn("low", low)
+        judged = lowest.select(
+            group, order, "n", F.coalesce(at > F.col("low.p") + drift * F.col("low.s"), F.lit(False)).alias("drifts"), F.coalesce(at > F.col("low.p") + warn * F.col("low.s"), F.lit(False)).alias("warns")
+        )
+    out = judged.groupBy(group).agg(F.max("n").cast("long").alias("n"), F.min(F.when(F.col("drifts"), F.col(order))).cast("long").alias("at"), F.max("warns").alias("warned"))
+    state = F.when(F.col("at").isNotNull(), "drift").when(F.col("warned"), "warning").otherwise("stable")
+    return out.select(group, "n", state.alias("state"), "at")
 
 
 def correlation_drift(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -210,6 +197,76 @@ def correlation_drift(before: DataFrame, after: DataFrame, columns: Sequence[str
     return both.select((reduce(lambda x, y: x + y, [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(pairs))]) / len(pairs)).alias("drift"))
 
 
+@dataclass
+class OneClassSvm(Detector):
+    """A one-class support vector machine by gradient steps over all rows, on random Fourier features of the standardised columns (a Gaussian kernel), in Arrow batches. A step
+    is one pass; only a histogram of the values and the features' sums of each partition come to the driver. ``nu``: about the share of rows outside. The score of an outlier
+    is above 0."""
+
+    columns: Sequence[str]
+    nu: float = 0.05
+    gamma: float = 0.5
+    features: int = 200
+    steps: int = 20
+    seed: int = 7
+
+    def fit(self, df: DataFrame) -> OneClassSvm:
+        self.cut = 0.0
+        row = df.agg(*[f(c) for c in self.columns for f in (F.avg, F.stddev_pop)]).first()
+        mean, scale = np.array([x or 0.0 for x in row[::2]]), np.array([x or 1.0 for x in row[1::2]])
+        random = np.random.default_rng(self.seed)
+        omega = random.normal(0, math.sqrt(2 * self.gamma), (len(self.columns), self.features)) / scale[:, None]
+        phase = random.uniform(0, 2 * math.pi, self.features) - mean @ omega
+        self.omega, self.phase = omega, phase
+        table = df.select(*[F.col(c).cast("double") for c in self.columns]).dropna().persist()
+        n = max(table.count(), 1)
+        w = self._sums(table, None, 0.0) / n
+        for step in range(1, self.steps + 1):
+            rho = self._offset(table, w, n)
+            w = w - (w - self._sums(table, w, rho) / (self.nu * n)) / (step + 1)
+        self.weights, self.offset = w, self._offset(table, w, n)
+        table.unpersist()
+        return self
+
+    def _sums(self, table: DataFrame, w: np.ndarray | None, rho: float) -> np.ndarray:
+        """The features' sums over the rows whose value is below ``rho`` (all rows without weights)."""
+        omega, phase = self.omega, self.phase
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(phase))
+            for batch in batches:
+                z = np.cos(np.column_stack([c.to_numpy() for c in batch.columns]) @ omega + phase)
+                total += z[z @ w < rho].sum(axis=0) if w is not None else z.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        got = table.mapInArrow(run, "sums array<double>").collect()
+        return np.sum([r["sums"] for r in got], axis=0) if got else np.zeros(self.features)
+
+    def _offset(self, table: DataFrame, w: np.ndarray, n: int, bins: int = 20_000) -> float:
+        """The value that a share of ``nu`` of the rows lies below: the best offset for these weights, to a bin of a histogram of all rows."""
+        omega, phase, reach = self.omega, self.phase, float(np.abs(w).sum()) or 1.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(bins, np.int64)
+            for batch in batches:
+                value = np.cos(np.column_stack([c.to_numpy() for c in batch.columns]) @ omega + phase) @ w
+                counts += np.bincount(np.clip(((value / reach + 1) / 2 * bins).astype(int), 0, bins - 1), minlength=bins)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "n"])
+
+        found = table.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+        place = int(np.searchsorted(found["n"].cumsum().to_numpy(), self.nu * n))
+        return ((found["bin"].iloc[min(place, len(found) - 1)] / bins) * 2 - 1) * reach if len(found) else 0.0
+
+    def score(self) -> Column:
+        omega, phase, w, offset = self.omega, self.phase, self.weights, self.offset
+
+        def outside(values: pd.DataFrame) -> pd.Series:
+            return pd.Series(offset - np.cos(values.to_numpy(float) @ omega + phase) @ w)
+
+        return F.pandas_udf(outside, "double")(F.struct(*self.columns))
+
+
 #: Rows of a block, about: all pairs of rows of two blocks are compared at once.
 BLOCK_ROWS = 4096
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.checks import Check, Measure, count_if, outside, per_column
+from .distribution import quantiles_between
 
 
 def _between(name: str, columns, low, high, statistic: Callable[[Column], Column]) -> Check:
@@ -23,7 +24,7 @@ def mean_between(columns: str | Sequence[str] | None = None, min_value: float |
 
 
 def median_between(columns: str | Sequence[str] | None = None, min_value: float | None = None, max_value: float | None = None) -> Check:
-    return _between("median_between", columns, min_value, max_value, lambda x: F.percentile(x, F.lit(0.5)))
+    return quantiles_between("median_between", "median_out_of_range", columns, 0.5, min_value, max_value)
 
 
 def min_between(columns: str | Sequence[str] | None = None, min_value: float | None = None, max_value: float | None = None) -> Check:

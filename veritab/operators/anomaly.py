@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.statistics import chi2_ppf, t_ppf
 from ..plans.checks import Check, count_if, graded, pick, rows
 from .distribution import with_statistics
+from .quantiles import beside_quantiles
 
 ASCENDING = (0.1, 0.05, 0.01)
 
@@ -24,7 +25,7 @@ def _shares(df: DataFrame, name: str, column: str, bad: Column, max_ratio: float
 
 def _quartiles(df: DataFrame, column: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     clean = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    return with_statistics(clean, {"q": F.percentile("x", F.array(F.lit(low), F.lit(high))), "n": F.count("x")})
+    return beside_quantiles(clean, {"q": ("x", [low, high])}, {"n": F.count("x")})
 
 
 def iqr_anomaly(column: str, iqr_multiplier: float = 1.5, max_anomaly_ratio: float = 0.1, detect_lower: bool = True, detect_upper: bool = True) -> Check:
@@ -41,8 +42,8 @@ def mad_anomaly(column: str, threshold: float = 3.5, max_anomaly_ratio: float =
 
     def plan(df: DataFrame) -> DataFrame:
         clean = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-        away = with_statistics(clean, {"m": F.percentile("x", F.lit(0.5))}).select(F.abs(F.col("x") - F.col("m")).alias("d"))
-        wide = with_statistics(away, {"mad": F.percentile("d", F.lit(0.5)), "mean": F.avg("d"), "n": F.count("d")})
+        away = beside_quantiles(clean, {"m": ("x", [0.5])}).select(F.abs(F.col("x") - F.col("m")[0]).alias("d"))
+        wide = beside_quantiles(away, {"mad": ("d", [0.5])}, {"mean": F.avg("d"), "n": F.count("d")}).withColumn("mad", F.col("mad")[0])
         score = F.when(F.col("mad") > 0, 0.6745 * F.col("d") / F.col("mad")).otherwise(F.try_divide("d", 1.253314 * F.col("mean")))
         return _shares(wide, "mad_anomaly", column, (score > threshold) & (F.col("n") >= 3), max_anomaly_ratio)
 
@@ -169,7 +170,7 @@ def elliptic_envelope(columns: Sequence[str] | None = None, contamination: float
         names = pick(df, columns, "numeric")
         mean, covariance = trimmed_moments(df, names, 2, 0.75)
         scored = df.select(*names).dropna().withColumn("__d", quadratic(names, mean, np.linalg.pinv(covariance)))
-        wide = with_statistics(scored, {"__cut": F.percentile("__d", F.lit(1 - contamination))})
+        wide = beside_quantiles(scored, {"__cut": ("__d", [1 - contamination])}).withColumn("__cut", F.col("__cut")[0])
         return _shares(wide, "elliptic_envelope", ",".join(names), F.col("__d") > F.col("__cut"), max_anomaly_ratio)
 
     return Check("elliptic_envelope", plan)
@@ -189,7 +190,7 @@ def pca_anomaly(columns: Sequence[str] | None = None, n_components: int | None =
         rest = vectors[:, order[min(k, len(names) - 1) :]]
         matrix = (rest @ rest.T) / np.outer(s, s)
         scored = df.select(*names).dropna().withColumn("__e", quadratic(names, mean, matrix))
-        wide = with_statistics(scored, {"__cut": F.percentile("__e", F.lit(error_percentile / 100))})
+        wide = beside_quantiles(scored, {"__cut": ("__e", [error_percentile / 100])}).withColumn("__cut", F.col("__cut")[0])
         return _shares(wide, "pca_anomaly", ",".join(names), F.col("__e") > F.col("__cut"), max_anomaly_ratio)
 
     return Check("pca_anomaly", plan)

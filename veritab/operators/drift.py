@@ -6,15 +6,17 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from numpy.polynomial.hermite_e import herme2poly
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.statistics import chi2_sf, ks_sf
+from ..functions.statistics import anderson_sf, chi2_sf, cvm_sf, ks_sf
 from ..plans.checks import NUMERIC, Check, count_if, graded, rows
 from .distribution import _bins, frequencies
+from .quantiles import exact_quantiles
 
 
 def _grade(df: DataFrame, check: str, column: str, issue: str, value: Column, threshold: float) -> DataFrame:
@@ -44,8 +46,7 @@ def variance_drift(column: str, reference: DataFrame, threshold_pct: float = 20.
 
 def quantile_drift(column: str, reference: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), threshold_pct: float = 15.0) -> Check:
     def plan(df: DataFrame) -> DataFrame:
-        ask = F.percentile(column, F.array(*map(F.lit, quantiles)))
-        both = _pair(df, reference, ask, ask)
+        both = exact_quantiles(df, {"a": (column, quantiles)}).crossJoin(exact_quantiles(reference, {"b": (column, quantiles)}))  # one row each
         each = [_grade(both, "quantile_drift", column, f"quantile_{q:g}_drift", F.try_divide(F.abs(F.col("a")[i] - F.col("b")[i]), F.abs(F.col("b")[i])) * 100, threshold_pct) for i, q in enumerate(quantiles)]
         return reduce(DataFrame.unionByName, each)
 
@@ -77,8 +78,7 @@ def categories(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, reference: DataFrame, column: str, n_bins: int) -> DataFrame:
     """``bin, p, q``: shares in bins between the reference's quantiles (distinct edges, the last bin closed); values beyond the edges are left out, on both sides."""
-    ask = F.percentile(column, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))
-    edges = reference.agg(F.array_distinct(ask).alias("edges"))
+    edges = exact_quantiles(reference, {"edges": (column, [i / n_bins for i in range(n_bins + 1)])}).select(F.array_distinct("edges").alias("edges"))
     both = df.select(F.col(column).cast("double").alias("x"), F.lit(0).alias("side")).union(reference.select(F.col(column).cast("double"), F.lit(1))).where("x is not null")
     wide = both.crossJoin(F.broadcast(edges)).where((F.col("x") >= F.col("edges")[0]) & (F.col("x") <= F.element_at("edges", -1)))
     place = F.least(F.size(F.filter("edges", lambda e: e <= F.col("x"))), F.size("edges") - 1)
@@ -150,23 +150,41 @@ def ks_test(column: str, reference: DataFrame, p_value_threshold: float = 0.05,
 
 
 def chi_square_drift(column: str, reference: DataFrame, p_value_threshold: float = 0.05, min_expected_frequency: float = 5.0) -> Check:
-    """Counts against those of the reference scaled to as many rows; values expected less than ``min_expected_frequency`` times are left out and the rest scaled anew. The p-value
-    needs the gamma function, so the statistic and its degrees of freedom come to the driver: one row."""
+    """Counts against those of the reference scaled to as many rows; values expected less than ``min_expected_frequency`` times are left out and the rest scaled anew."""
 
     def plan(df: DataFrame) -> DataFrame:
-        shares = categories(df, reference, column)
-        n = shares.agg(F.sum("a").alias("n"))
-        kept = shares.crossJoin(F.broadcast(n)).select("a", (F.col("q") * F.col("n")).alias("e")).where(F.col("e") >= min_expected_frequency)
-        totals = kept.agg(F.sum("a").alias("ta"), F.sum("e").alias("te"))
-        e = F.col("e") * F.col("ta") / F.col("te")
-        row = kept.crossJoin(F.broadcast(totals)).agg(F.sum((F.col("a") - e) ** 2 / e).alias("x"), rows().alias("k")).first()
-        p = chi2_sf(row["x"] or 0.0, row["k"] - 1) if row["k"] > 1 else 1.0
-        one = df.sparkSession.range(1).select(F.lit(float(row["x"] or 0.0)).alias("x"), F.lit(p).alias("p"))
-        return graded(one, "chi_square_drift", column, "category_drift", F.when(F.col("p") < p_value_threshold, 1).otherwise(0), F.lit(1), F.col("x"), grade="high")
+        one = _chi_square(df, reference, column, min_expected_frequency)
+        return graded(one, "chi_square_drift", column, "category_drift", F.when(F.col("p") < p_value_threshold, 1).otherwise(0), F.lit(1), F.col("value"), grade="high")
 
     return Check("chi_square_drift", plan)
 
 
+@F.pandas_udf(T.DoubleType())
+def _chi_square_p(x: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([chi2_sf(a, b - 1) if b > 1 else 1.0 for a, b in zip(x, k, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def _cvm_p(x: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([cvm_sf(*v) for v in zip(x, n, m, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def _anderson_p(x: pd.Series) -> pd.Series:
+    return pd.Series([anderson_sf(v) for v in x], dtype=float)
+
+
+def _chi_square(df: DataFrame, reference: DataFrame, column: str, min_expected_frequency: float = 5.0) -> DataFrame:
+    """One row: the statistic ``value`` and its ``p``."""
+    shares = categories(df, reference, column)
+    n = shares.agg(F.sum("a").alias("n"))
+    kept = shares.crossJoin(F.broadcast(n)).select("a", (F.col("q") * F.col("n")).alias("e")).where(F.col("e") >= min_expected_frequency)
+    totals = kept.agg(F.sum("a").alias("ta"), F.sum("e").alias("te"))
+    e = F.col("e") * F.col("ta") / F.col("te")
+    one = kept.crossJoin(F.broadcast(totals)).agg(F.coalesce(F.sum((F.col("a") - e) ** 2 / e), F.lit(0.0)).alias("value"), rows().alias("k"))
+    return one.select("value", _chi_square_p("value", "k").alias("p"))
+
+
 def wasserstein_drift(column: str, reference: DataFrame, threshold: float, normalize: bool = False) -> Check:
     """Integral of the distance between the distribution functions, over the reference's standard deviation if ``normalize``."""
 
@@ -230,8 +248,7 @@ def _statistic(df: DataFrame, reference: DataFrame, column: str, method: str, ca
     if method == "psi":
         return _psi_terms(df, reference, column, n_bins, categorical, 1e-4).agg(F.sum("term").alias("value")).select("value", none)
     if method == "chi2":
-        one = chi_square_drift(column, reference).plan(df)
-        return one.select(F.col("actual").alias("value"), F.when(F.col("n_bad") > 0, 0.0).otherwise(1.0).alias("p"))
+        return _chi_square(df, reference, column)
     curve = ecdf(df, reference, column)
     gap = F.col("F") - F.col("G")
     if method == "ks":
@@ -243,11 +260,11 @@ def _statistic(df: DataFrame, reference: DataFrame, column: str, method: str, ca
     n, m, h = F.col("na"), F.col("nb"), (F.col("a") + F.col("b")) / (F.col("na") + F.col("nb"))
     if method == "cvm":
         t = F.max(n * m / (n + m)) * F.sum(gap * gap * h)
-        return curve.agg(t.alias("value")).select("value", F.exp(-F.col("value") * 6.0).alias("p"))
+        return curve.agg(t.alias("value"), F.max("na").alias("na"), F.max("nb").alias("nb")).select("value", _cvm_p("value", "na", "nb").alias("p"))
     if method == "anderson":
         pooled = (n * F.col("F") + m * F.col("G")) / (n + m)
         t = F.max(n * m / (n + m)) * F.sum(F.when((pooled > 0) & (pooled < 1), gap * gap * h / (pooled * (1 - pooled))).otherwise(0.0))
-        return curve.agg(t.alias("value")).select("value", F.least(F.exp(1.2937 - 5.709 * F.col("value") / 6), F.lit(1.0)).alias("p"))
+        return curve.agg(t.alias("value")).select("value", _anderson_p("value").alias("p"))
     if method == "mmd":
         return _mmd(df, reference, column)
     raise ValueError(f"no drift method {method}")

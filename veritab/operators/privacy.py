@@ -69,8 +69,11 @@ def found_in_text(df: DataFrame, column: str) -> DataFrame:
         "us_ssn": r"\b\d{3}-\d{2}-\d{4}\b",
         "credit_card": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b",
     }
-    counts = {k: F.regexp_count(F.col(column), F.lit(p)) for k, p in kinds.items()}
-    one = df.agg(*[count_if(n > 0).alias(f"r_{k}") for k, n in counts.items()], *[F.sum(n).alias(f"n_{k}") for k, n in counts.items()])
+    telling = {"email": F.col(column).contains("@")}  # what a text must hold is sought first; the others need a digit
+    digit = F.col(column).rlike(r"\d{3}|\d\.\d")
+    counts = [F.when(telling.get(k, digit), F.regexp_count(F.col(column), F.lit(p))).otherwise(0).alias(k) for k, p in kinds.items()]
+    each = df.where(F.col(column).isNotNull()).select(F.explode(F.array(F.struct(*counts))).alias("n"))  # a generator, so that the counts aren't evaluated for each use
+    one = each.agg(*[count_if(F.col(f"n.{k}") > 0).alias(f"r_{k}") for k in kinds], *[F.sum(f"n.{k}").alias(f"n_{k}") for k in kinds])
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"r_{k}").alias("n_rows"), F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias("n_found")) for k in kinds])))
 
 

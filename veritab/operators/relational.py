@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.checks import count_if, rows
+from .quantiles import exact_quantiles
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp, "median": lambda c: F.percentile(c, F.lit(0.5)), "first": F.first, "last": F.last, "n_unique": F.count_distinct, "null_count": lambda c: count_if(F.col(c).isNull())}
 
@@ -82,8 +83,7 @@ def value_page(df: DataFrame, column: str, order_by: Sequence[str], limit: int,
 
 def quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataFrame:
     """``q, value`` by linear interpolation."""
-    ask = F.percentile(column, F.array(*map(F.lit, qs)))
-    return df.agg(ask.alias("v")).select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), "value")
+    return exact_quantiles(df, {"v": (column, qs)}).select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), "value")
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.checks import Check, Measure, count_if, graded, outside, rows
+from .quantiles import exact_quantiles
 from .distribution import ordered_lag
 
 
@@ -38,7 +39,7 @@ def intervals(df: DataFrame, timestamp_column: str) -> DataFrame:
 
 def _expected(gaps: DataFrame, frequency_seconds: float | None) -> DataFrame:
     """One row with the ``step`` between points: given, or the median of the gaps above 0."""
-    return gaps.where("gap > 0").agg(F.percentile("gap", F.lit(0.5)).alias("step")) if frequency_seconds is None else gaps.sparkSession.range(1).select(F.lit(float(frequency_seconds)).alias("step"))
+    return exact_quantiles(gaps.where("gap > 0"), {"step": ("gap", [0.5])}).select(F.col("step")[0].alias("step")) if frequency_seconds is None else gaps.sparkSession.range(1).select(F.lit(float(frequency_seconds)).alias("step"))
 
 
 def timeseries_completeness(timestamp_column: str, frequency_seconds: float | None = None, min_coverage: float = 0.95) -> Check:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .checks import DUPLICATES, RANGES, STRICT, USUAL, Check, run
 from .entries_checks import CHECKS, FLAGSHIP
+from .entries_more import MORE_SQL, MORE_TABLES
 from .entries_tables import TABLES
 from .sources_sql import SOURCES, TEST_TABLES
 
@@ -93,18 +94,18 @@ def _table_query(make: Callable[[Tables], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _check_query(source, make) for name, source, make, *_ in CHECKS}
-    out |= {name: _table_query(make) for name, make, _ in TABLES}
+    out |= {name: _table_query(make) for name, make, _ in [*TABLES, *MORE_TABLES]}
     out["flagship_suite"] = flagship
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: check_sql(source, rows, **(rest[0] if rest else {})) for name, source, _, rows, *rest in CHECKS if rows}
-    for name, _, sql in TABLES:
-        if sql:
-            for t in SOURCES:
-                sql = sql.replace(f"{{{t}}}", sql_source(t))
-            out[name] = sql
+    texts = {name: sql for name, _, sql in [*TABLES, *MORE_TABLES] if sql} | MORE_SQL
+    for name, sql in texts.items():
+        for t in SOURCES:
+            sql = sql.replace(f"{{{t}}}", sql_source(t))
+        out[name] = sql
     out["flagship_suite"] = check_sql("lineitem", FLAGSHIP)
     return out
 

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import completeness, distribution, strings, uniqueness
+from ..operators.quantiles import exact_quantiles
 from .checks import NUMERIC, TEMPORAL, Check, count_if, rows
 
 PROFILE = "column_name string, kind string, n_rows long, n_null long, n_distinct long, minimum string, maximum string, mean double, std double, q1 double, median double, q3 double, skewness double, kurtosis double, min_length int, max_length int, mean_length double, n_empty long"
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row for each column (see ``PROFILE``), all columns by one aggregation over one scan."""
+def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+    """One row for each column (see ``PROFILE``): an aggregation of all columns, and their exact quartiles beside it. Exact distinct counts shuffle each column's values; with
+    ``approximate``, they come from sketches of 1 % standard error, and quartiles from sketches whose ranks are off by 0.01 % at most, all in one scan."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     asked, made = [rows().alias("n")], []
     for i, f in enumerate(fields):
@@ -24,9 +26,11 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         number, text, time = isinstance(f.dataType, NUMERIC), isinstance(f.dataType, T.StringType), isinstance(f.dataType, TEMPORAL)
         simple = number or text or time or isinstance(f.dataType, T.BooleanType)
         key = x if simple else F.to_json(x) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else x.cast("string")
+        sketched = F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75], 10_000) if number else none.cast("array<double>")
+        quartiles = {"q": sketched} if approximate or not number else {}
         values = {
-            "null": count_if(x.isNull()), "distinct": F.count_distinct(key), "min": F.min(x).cast("string") if simple else none.cast("string"), "max": F.max(x).cast("string") if simple else none.cast("string"),
-            "mean": F.avg(x) if number else none, "std": F.stddev_samp(x) if number else none, "q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if number else none.cast("array<double>"),
+            "null": count_if(x.isNull()), "distinct": F.approx_count_distinct(key, 0.01) if approximate else F.count_distinct(key), "min": F.min(x).cast("string") if simple else none.cast("string"), "max": F.max(x).cast("string") if simple else none.cast("string"),
+            "mean": F.avg(x) if number else none, "std": F.stddev_samp(x) if number else none, **quartiles,
             "skew": F.skewness(x) if number else none, "kurt": F.kurtosis(x) if number else none,
             "minl": F.min(F.char_length(x)) if text else none, "maxl": F.max(F.char_length(x)) if text else none, "meanl": F.avg(F.char_length(x)) if text else none, "empty": count_if(x == "") if text else none,
         }
@@ -40,7 +44,10 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                 F.col(f"minl{i}").cast("int").alias("min_length"), F.col(f"maxl{i}").cast("int").alias("max_length"), F.col(f"meanl{i}").cast(double).alias("mean_length"), F.col(f"empty{i}").cast("long").alias("n_empty"),
             )
         )
-    return df.agg(*asked).select(F.inline(F.array(*made)))
+    exact = {f"q{i}": (F.col(f"`{f.name}`"), [0.25, 0.5, 0.75]) for i, f in enumerate(fields) if isinstance(f.dataType, NUMERIC)}
+    one = df.agg(*asked)
+    one = one.crossJoin(exact_quantiles(df, exact)) if exact and not approximate else one  # one row each
+    return one.select(F.inline(F.array(*made)))
 
 
 def learn(df: DataFrame, categorical_threshold: int = 20) -> dict[str, dict[str, object]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,6 +72,24 @@ def check_batches(df: DataFrame, checks: Sequence[Check], sink: Callable[[DataFr
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: State stores: in the executors' memory with snapshots, or in RocksDB on their disks with changelogs in the checkpoint folder, for state that outgrows memory or must outlive a server.
+STATE_STORES = {
+    "memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+    "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def state_store(spark: SparkSession, kind: str) -> None:
+    """The state store of the streams started from now on: ``memory`` or ``rocksdb``. Both recover a batch's state from the checkpoint folder."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORES[kind])
+
+
+def aggregated_with(df: DataFrame, keys: Sequence[str], spec: Mapping[str, tuple[str, str]], static: DataFrame, how: str = "inner") -> DataFrame:
+    """Aggregates of a stream (or a table) by key, joined with a static table of those keys. Rows are aggregated first, so a row for each key meets the table."""
+    own = df.groupBy(*keys).agg(*[AGGREGATES[f](c).alias(a) for a, (f, c) in spec.items()])
+    return own.join(static, list(keys), how)
+
+
 def merged(results: DataFrame) -> DataFrame:
     """Results of many batches as one: counts add up, the worst severity holds."""
     rank = F.array_position(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("severity"))
