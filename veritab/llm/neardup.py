@@ -127,16 +127,16 @@ def _first_nodes(sets: DataFrame, how: Join) -> DataFrame:
     return sets.select(F.explode(F.array(*keys)).alias("node"), "v")
 
 
-def told(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` with the columns of their node in ``nodes`` (``node``, ``size`` and others). ``rows`` aren't shuffled by node where ``nodes`` can be broadcast; beyond, those of the
+def told(rows: DataFrame, nodes: DataFrame, key: str = "node") -> DataFrame:
+    """``rows`` with the columns of their node in ``nodes`` (``key``, ``size`` and others). ``rows`` aren't shuffled by node where ``nodes`` can be broadcast; beyond, those of the
     large nodes still aren't, as these are few: one for each `LARGE` rows at most. So no task reads the rows of a large node."""
     nodes = stored(nodes, "nodes")
     few = bounded(nodes)
     if few is not nodes:
-        return rows.join(few, "node")
+        return rows.join(few, key)
     large = nodes.where(F.col("size") > LARGE)
-    hot = rows.join(bounded(large), "node")
-    rest = rows.join(bounded(large.select("node")), "node", "left_anti").join(nodes.where(F.col("size") <= LARGE), "node")
+    hot = rows.join(bounded(large), key)
+    rest = rows.join(bounded(large.select(key)), key, "left_anti").join(nodes.where(F.col("size") <= LARGE), key)
     return hot.unionByName(rest)
 
 
@@ -285,7 +285,8 @@ def _heads(full: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
     common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * how.percent / 100))) * how.percent / (100 + how.percent))
     known = own.join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("meeting", F.col("n") - common + 1)
     able = stored(known.where("alone < meeting").select("v", "n", "component", "alone", "meeting"), "able")
-    again = sets.join(bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle")).join(counts.where("docs > 1").select("shingle", "docs"), "shingle")
+    again = sets.join(bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle"))
+    again = told(again, counts.where("docs > 1").select("shingle", F.col("docs").alias("size")), "shingle").withColumnRenamed("size", "docs")
     placed = again.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("docs", "shingle"))).join(bounded(able), "v")
     head = placed.where(F.col("place") + F.col("alone") <= F.col("meeting"))
     return stored(head.select("v", "component", (F.col("n") - F.col("alone")).alias("shared"), "shingle"), "heads")
@@ -361,8 +362,8 @@ def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     labelled = met.join(bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
     open_ = stored(_mixed(labelled), "open")
     heads = _heads(full, open_, how)
-    several = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    touching = heads.join(several, "shingle", "left_semi").select("v", "shared").distinct()
+    several = heads.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "size")
+    touching = told(heads, several, "shingle").select("v", "shared").distinct()
     able = stored(_mixed(open_.join(touching, "v")), "able")
     pairs = stored(_across(able.where(F.col("size") <= how.node), how).union(_branched(heads, able.where(F.col("size") > how.node), full, how)).distinct(), "pairs")
     out = stored(close.union(_confirmed(pairs, full, how)), "links")
