@@ -235,6 +235,20 @@ def test_recall_of_trees():
     assert 1 - q**how.trees >= how.recall and how.trees * (2 ** (how.depth + 1) - 2) <= how.tokens
 
 
+def test_measured_recall(spark):
+    """Of pairs whose similarity is little above 0.75, all are linked; those a little below aren't."""
+    rng, rows, linked = random.Random(17), [], 0
+    for g in range(150):
+        base = [f"p{g}w{i}" for i in range(104)]
+        other, cut = list(base), rng.choice([13, 14, 15])  # new words at the end: 100 - cut common shingles of 100 + cut
+        other[104 - cut :] = [f"p{g}x{i}" for i in range(cut)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        linked += 100 * (100 - cut) >= 75 * (100 + cut)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text")
+    found = out.where("not kept").count()
+    assert 0 < linked < 150 and found == linked
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.component for r in components.components(links).collect()}

@@ -24,8 +24,9 @@ SLICE_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
-#: `ranked` ranks about so many different rows in a task, and makes so many equal rows from their count at a time.
+#: `ranked` ranks about so many different rows in a task, in 2 ** 6 parts at least, and makes so many equal rows from their count at a time.
 PART_ROWS = 250_000
+LEAST_BITS = 6
 CHUNK = 100_000
 
 _OWN: dict[str, str] = {}
@@ -85,7 +86,7 @@ def ranked(rows: DataFrame, by: str, draw: str) -> DataFrame:
     """
     counted = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")), "ranked")
     different, most = counted.agg(F.count("*"), F.max("__n")).first()
-    bits = max(0, math.ceil(math.log2(max(different, 1) / PART_ROWS)))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(different, 1) / PART_ROWS)))
     own = counted.withColumn("__part", F.shiftright(F.col(draw).cast("long"), 32 - bits))
     before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = own.groupBy(by, "__part").agg(F.sum("__n").alias("__size"))

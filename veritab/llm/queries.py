@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from . import decontaminate, neardup, packing, quality, sharding, substrings, toxicity, transcripts, warc, wordpiece
 from .oracles import ORACLES

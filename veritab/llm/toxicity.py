@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, how: Training = Training(), cut: float = 0.7) -> DataFrame:
     """``id_col, held_out, score, predicted`` of each row of ``docs``. Ids, labels and other columns take no part in a score. Repeated rows have equal scores; an empty
-    table gives no rows; a null id is hashed as the empty string."""
+    table gives no rows; a null id is hashed as the empty string. A text is scored by one task, which holds its distinct words."""
     scored = score(docs, train(docs, labels, id_col, text_col, label_col, how), text_col)
     named = scored.select(F.col("row")[id_col].alias(id_col), "score")
     return named.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
