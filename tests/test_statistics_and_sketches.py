@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veritab.functions import geo
 from veritab.functions.statistics import anderson_sf, chi2_sf, cvm_cdf, cvm_sf, t_ppf
 from veritab.ml import detectors
-from veritab.operators import anomaly, distribution, drift, quantiles, sketches, strings
+from veritab.operators import anomaly, distribution, drift, quantiles, sketches, strings, timeseries
 from veritab.plans import incremental
 from veritab.plans.checks import run
 from veritab.sources import readers
@@ -228,6 +228,22 @@ def test_concept_drift(spark):
     assert {r.g: (r.n, r.state, r["at"]) for r in got} == {g: follow(es) for g, es in streams.items()}
 
 
+def test_series_in_blocks(spark, monkeypatch):
+    """A series cut into many blocks gives what it gives in one."""
+    monkeypatch.setattr(timeseries, "BLOCK", 8)
+    x = [math.sin(i / 5) + 0.01 * i + RNG.random() for i in range(300)]
+    series = spark.createDataFrame(list(enumerate(x)), "i long, x double").repartition(5)
+    flat = np.array(x) - np.polyval(np.polyfit(range(300), x, 1), range(300))
+    flat -= flat.mean()
+    got = {r.lag: r.acf for r in timeseries.autocorrelation(series, [1, 7, 40]).collect()}
+    assert got == pytest.approx({k: float((flat[:-k] * flat[k:]).sum() / (flat**2).sum()) for k in (1, 7, 40)})
+    trend = {r.i: r.trend for r in timeseries.moving_average(series, 7).collect()}
+    assert trend == pytest.approx({i: float(np.mean(x[i - 3 : i + 4])) for i in range(3, 297)})
+    timed = spark.createDataFrame([(i, 1.0 + (i >= 100) * 2 + (i >= 220) * 3 + 0.001 * (i % 3)) for i in range(300)], "t long, v double")
+    broken = run(timed.selectExpr("timestamp_seconds(t) AS t", "v"), [timeseries.trend_break("t", "v", 0.5, 10)]).first()
+    assert broken["n_bad"] == 2
+
+
 def test_small_helpers(spark):
     texts = spark.createDataFrame([('{"a": 1}',)] * 1500 + [('{"a": 1, "late": "x"}',)], "j string")
     assert readers.document_schema(texts, "j") == "struct<a:bigint,late:string>"

@@ -10,11 +10,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..plans.checks import Check, Measure, count_if, graded, outside, rows
-from .quantiles import exact_quantiles
 from .distribution import ordered_lag
+from .quantiles import exact_quantiles
 
 
 def _seconds(c: Column) -> Column:
@@ -153,14 +153,28 @@ def _line(series: DataFrame) -> DataFrame:
     return series.agg(F.regr_slope("x", "i").alias("slope"), F.regr_intercept("x", "i").alias("base"), F.regr_r2("x", "i").alias("r2"))
 
 
+#: Places of a series that a task works on together, at least.
+BLOCK = 4096
+
+
+def blocked(series: DataFrame, before: int, after: int) -> tuple[DataFrame, WindowSpec]:
+    """The rows of a series (``i`` and others) dealt in blocks of consecutive places, with ``mine``, and the order within a block. A block also holds copies of the ``before``
+    rows that precede it and the ``after`` rows that follow, which aren't ``mine``: so windows of so many rows need no order over the whole series, and few rows are doubled."""
+    size = max(BLOCK, 4 * (before + after))
+    own, place = F.floor(F.col("i") / size), F.pmod(F.col("i"), F.lit(size))
+    blocks = F.array(own, F.when(place < after, own - 1), F.when(place >= size - before, own + 1))
+    dealt = series.withColumn("__block", F.explode(F.array_compact(blocks))).withColumn("mine", F.col("__block") == own)
+    return dealt, Window.partitionBy("__block").orderBy("i")
+
+
 def autocorrelation(series: DataFrame, lags: list[int]) -> DataFrame:
-    """``lag, acf`` of the detrended series; a join on the place shifted by each lag."""
+    """``lag, acf`` of the detrended series, all lags by one aggregation; each row meets those so many places later in its block."""
     flat = series.crossJoin(F.broadcast(_line(series))).select("i", (F.col("x") - F.col("base") - F.col("slope") * F.col("i")).alias("x"))
     centred = flat.crossJoin(F.broadcast(flat.agg(F.avg("x").alias("m")))).select("i", (F.col("x") - F.col("m")).alias("x"))
-    later = centred.select("i", F.col("x").alias("y"))
-    shifted = centred.select(F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), "i", "x").select("lag", (F.col("i") + F.col("lag")).alias("i"), "x")
-    power = centred.agg(F.sum(F.col("x") * F.col("x")).alias("v"))
-    return shifted.join(later, "i").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("c")).crossJoin(F.broadcast(power)).select("lag", F.try_divide("c", "v").alias("acf"))
+    dealt, order = blocked(centred, 0, max(lags))
+    pairs = dealt.select("x", "mine", *[(F.col("x") * F.lead("x", k).over(order)).alias(f"p{k}") for k in lags]).where("mine")
+    one = pairs.agg(F.sum(F.col("x") * F.col("x")).alias("v"), *[F.sum(f"p{k}").alias(f"p{k}") for k in lags])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(f"p{k}", "v").alias("acf")) for k in lags]))).where("acf is not null")
 
 
 def seasonality(timestamp_column: str, value_column: str, expected_period: int | None = None, min_strength: float = 0.3, max_period_search: int = 100) -> Check:
@@ -175,10 +189,12 @@ def seasonality(timestamp_column: str, value_column: str, expected_period: int |
 
 
 def moving_average(series: DataFrame, width: int, out: str = "trend") -> DataFrame:
-    """Centred means of ``width`` places (one more if even), by a join of each place with its neighbours; no window over the whole series."""
+    """Centred means of ``width`` places (one more if even), of the places that have so many around them."""
     half = width // 2
-    near = series.select(F.explode(F.sequence(F.col("i") - half, F.col("i") + half)).alias("i"), F.col("x").alias("y"))
-    return series.join(near.groupBy("i").agg(F.avg("y").alias(out), rows().alias("__n")), "i").where(F.col("__n") == 2 * half + 1).drop("__n")
+    dealt, order = blocked(series, half, half)
+    near = order.rowsBetween(-half, half)
+    wide = dealt.withColumn(out, F.avg("x").over(near)).withColumn("__n", F.count("x").over(near))
+    return wide.where(F.col("mine") & (F.col("__n") == 2 * half + 1)).drop("__n", "__block", "mine")
 
 
 def seasonal_decomposition(timestamp_column: str, value_column: str, period: int, max_residual_ratio: float = 0.3) -> Check:
@@ -214,12 +230,14 @@ def trend_break(timestamp_column: str, value_column: str, min_break_magnitude: f
 
     def plan(df: DataFrame) -> DataFrame:
         series = _series(df, timestamp_column, value_column)
-        after = series.select(F.explode(F.sequence(F.col("i") - window_size + 1, F.col("i"))).alias("i"), "x").groupBy("i").agg(F.avg("x").alias("after"), rows().alias("n"))
-        after = after.where((F.col("n") == window_size) & (F.col("i") >= 0)).select("i", "after")
-        before = after.select((F.col("i") + window_size).alias("i"), F.col("after").alias("before"))
-        change = after.join(before, "i").select("i", F.abs(F.try_divide(F.col("after") - F.col("before"), F.abs("before"))).alias("c"))
-        top = change.select(F.explode(F.sequence(F.col("i") - 3, F.col("i") + 3)).alias("i"), F.col("c").alias("other")).groupBy("i").agg(F.max("other").alias("top"))
-        one = change.join(top, "i").agg(count_if((F.col("c") >= min_break_magnitude) & (F.col("c") >= F.col("top"))).alias("n"))
+        dealt, order = blocked(series, window_size, window_size - 1)
+        means = {"before": order.rowsBetween(-window_size, -1), "after": order.rowsBetween(0, window_size - 1)}
+        wide = dealt.select("i", "mine", *[F.avg("x").over(w).alias(k) for k, w in means.items()], *[F.count("x").over(w).alias(f"n_{k}") for k, w in means.items()])
+        whole = wide.where(F.col("mine") & (F.col("n_before") == window_size) & (F.col("n_after") == window_size))
+        change = whole.select("i", F.abs(F.try_divide(F.col("after") - F.col("before"), F.abs("before"))).alias("c"))
+        again, order = blocked(change, 3, 3)
+        top = again.withColumn("top", F.max("c").over(order.rangeBetween(-3, 3))).where("mine")
+        one = top.agg(count_if((F.col("c") >= min_break_magnitude) & (F.col("c") >= F.col("top"))).alias("n"))
         return graded(one, "trend_break", value_column, "trend_break", F.when(F.col("n") > max_breaks, F.col("n")).otherwise(0), F.col("n"), F.col("n"), grade="medium")
 
     return Check("trend_break", plan)

@@ -17,25 +17,27 @@ PROFILE = "column_name string, kind string, n_rows long, n_null long, n_distinct
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """One row for each column (see ``PROFILE``): an aggregation of all columns, and their exact quartiles beside it. Exact distinct counts shuffle each column's values; with
-    ``approximate``, they come from sketches of 1 % standard error, and quartiles from sketches whose ranks are off by 0.01 % at most, all in one scan."""
+    """One row for each column (see ``PROFILE``): a few aggregations of all columns. Exact distinct counts shuffle each column's values; with
+    ``approximate``, they come from sketches of 1 % standard error, and quartiles from sketches whose ranks are off by 0.01 % at most."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    asked, made = [rows().alias("n")], []
+    asked, distinct, sketched, ends, made = [rows().alias("n")], [], [], [], []
     for i, f in enumerate(fields):
         x, none = F.col(f"`{f.name}`"), F.lit(None)
         number, text, time = isinstance(f.dataType, NUMERIC), isinstance(f.dataType, T.StringType), isinstance(f.dataType, TEMPORAL)
         simple = number or text or time or isinstance(f.dataType, T.BooleanType)
         key = x if simple else F.to_json(x) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else x.cast("string")
-        sketched = F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75], 10_000) if number else none.cast("array<double>")
-        quartiles = {"q": sketched} if approximate or not number else {}
+        distinct.append((F.approx_count_distinct(key, 0.01) if approximate else F.count_distinct(key)).alias(f"distinct{i}"))
+        if number and approximate:
+            sketched.append(F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75], 10_000).alias(f"q{i}"))
+        lowest, highest = (f(x).cast("string") if simple else none.cast("string") for f in (F.min, F.max))
+        (ends if text else asked).extend([lowest.alias(f"min{i}"), highest.alias(f"max{i}")])
         values = {
-            "null": count_if(x.isNull()), "distinct": F.approx_count_distinct(key, 0.01) if approximate else F.count_distinct(key), "min": F.min(x).cast("string") if simple else none.cast("string"), "max": F.max(x).cast("string") if simple else none.cast("string"),
-            "mean": F.avg(x) if number else none, "std": F.stddev_samp(x) if number else none, **quartiles,
+            "null": count_if(x.isNull()), "mean": F.avg(x) if number else none, "std": F.stddev_samp(x) if number else none,
             "skew": F.skewness(x) if number else none, "kurt": F.kurtosis(x) if number else none,
             "minl": F.min(F.char_length(x)) if text else none, "maxl": F.max(F.char_length(x)) if text else none, "meanl": F.avg(F.char_length(x)) if text else none, "empty": count_if(x == "") if text else none,
         }
         asked += [v.alias(f"{k}{i}") for k, v in values.items()]
-        q, double = F.col(f"q{i}"), "double"
+        q, double = F.col(f"q{i}") if number else F.lit(None).cast("array<double>"), "double"
         made.append(
             F.struct(
                 F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("kind"), F.col("n").alias("n_rows"), F.col(f"null{i}").alias("n_null"), F.col(f"distinct{i}").alias("n_distinct"),
@@ -45,8 +47,9 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bo
             )
         )
     exact = {f"q{i}": (F.col(f"`{f.name}`"), [0.25, 0.5, 0.75]) for i, f in enumerate(fields) if isinstance(f.dataType, NUMERIC)}
-    one = df.agg(*asked)
-    one = one.crossJoin(exact_quantiles(df, exact)) if exact and not approximate else one  # one row each
+    # counts and moments are generated code only while no sketch, distinct count or text is beside them, so these are asked for apart; one row each
+    one = reduce(DataFrame.crossJoin, [df.agg(*x) for x in (asked, distinct, sketched, ends) if x])
+    one = one.crossJoin(exact_quantiles(df, exact)) if exact and not approximate else one
     return one.select(F.inline(F.array(*made)))
 
 
