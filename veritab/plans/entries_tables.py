@@ -1,4 +1,4 @@
-"""Registered table functions: name, the query, and its SQL ("" where SQL can't express it; those are held against brute force in the tests)."""
+"""Registered table functions: name, the query, and its SQL ("" where SQL can't express it: neighbours are held against brute force in the tests, forests against planted rows)."""
 
 from __future__ import annotations
 
