@@ -390,6 +390,24 @@ def test_pattern_pricing_and_packing():
         assert (total == histogram).all() and made.least <= made.sequences <= made.least * 1.05 + 1
 
 
+def test_configuration_program_is_covered_and_near_its_bound():
+    rng = np.random.default_rng(3)
+    for number in (3, 30, 3000):
+        histogram = np.append(0, rng.integers(0, number, 64))
+        used, bound = packing.fractional(histogram, 64, rounds=400)
+        cover = np.zeros(65)
+        for pattern, n in used.items():
+            assert n > 0 and sum(pattern) <= 64
+            np.add.at(cover, list(pattern), n)
+        assert cover == pytest.approx(histogram)
+        assert bound <= sum(used.values()) <= bound * 1.06
+        whole = packing.rounded(used, histogram, 0.95)
+        for pattern, n in whole.items():
+            np.subtract.at(cover, list(pattern), n)
+        assert (cover > -1e-6).all() and bound <= packing.solve(histogram, 64).least + 1e-6
+    assert packing.solve(np.zeros(65, int), 64).sequences == 0
+
+
 def test_bound_and_packing_against_all_packings():
     def fewest(left, free):
         """Sequences needed for lengths ``left``, longest first, given the free space of open ones."""

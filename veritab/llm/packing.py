@@ -1,7 +1,8 @@
-"""Best-fit packing by the configuration program over the length histogram: weights and knapsack pricing choose patterns, which are rounded down; the rest goes by best fit."""
+"""Best-fit packing by the configuration linear program over the length histogram: multiplicative weights with knapsack pricing solve it, the solution is rounded, the rest filled up."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -15,8 +16,15 @@ from pyspark.sql import functions as F
 from .common import ranked, sliced, stored
 
 
-def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The multiset of lengths 1..capacity that is worth most and fits, by unbounded-knapsack dynamic programming; ``worth[l]`` is that of length ``l``."""
+#: The program's weights: how far they fall as a length is covered, the share of a length that a round may cover, and the rounds.
+ETA, STEP, ROUNDS = 3.0, 0.1, 100
+
+#: `solve` rounds these shares of the program's solution, leaves the rest to `filled`, and keeps the packing of the fewest sequences.
+SHARES = (0.95, 0.8)
+
+
+def knapsack(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity 0..``capacity``, the greatest worth of lengths that fit, each any number of times, and the last length taken (0: none), by dynamic programming."""
     lengths = np.flatnonzero(worth[: capacity + 1] > 0)
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     if len(lengths):
@@ -29,40 +37,103 @@ def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
                 best[c], pick[c] = got[i], lengths[i]
             else:
                 best[c] = best[c - 1]
-    pattern, c = np.zeros(capacity + 1, np.int64), capacity
+    return best, pick
+
+
+def taken(pick: np.ndarray, c: int) -> list[int]:
+    """The lengths that `knapsack` takes for capacity ``c``."""
+    out = []
     while c > 0:
         if pick[c]:
-            pattern[pick[c]] += 1
-            c -= int(pick[c])
+            out.append(int(pick[c]))
+            c -= out[-1]
         else:
             c -= 1
-    return float(best[capacity]), pattern
+    return out
+
 
+def best_pattern(worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of lengths 1..capacity that is worth most and fits, as numbers of each; ``worth[l]`` is that of length ``l``."""
+    best, pick = knapsack(worth, capacity)
+    return float(best[capacity]), np.bincount(taken(pick, capacity), minlength=capacity + 1)
 
-def fractional(histogram: np.ndarray, capacity: int, eta: float) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, so that every length is covered: multiplicative weights on the lengths, with knapsack pricing.
 
-    A length's price is its share of the capacity times its weight, exp(-``eta`` * the share of its number that is covered). Each round takes the longest length not yet
-    covered, which fits with the fewest others, and the pattern of the greatest price around it, found by `best_pattern`; it is used until one of its lengths is covered, and
-    the weights fall accordingly. So there are at most as many rounds as lengths. Patterns that aren't built around the longest length, and smaller steps, solve the configuration
-    program as well in the limit, but leave long lengths alone for thousands of rounds and so need more sequences once rounded.
+def fractional(histogram: np.ndarray, capacity: int, eta: float = ETA, step: float = STEP, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """The configuration program by multiplicative weights: patterns (lengths, longest first) and how often each is used, so that all lengths are covered, and a lower bound.
+
+    A length's price is its share of the capacity times its weight, exp(-``eta`` * the share of its number that is covered); those wholly covered cost nothing. A round prices
+    all patterns by one `knapsack`, which also tells the pattern of the greatest price around each length: from the longest on, each is used until one of its lengths has
+    ``step`` of its number covered in this round. Then the weights fall. So common and rare lengths are covered at the same pace, and short ones aren't used up before the
+    long ones that need them. Prices over the greatest price of a pattern are a solution of the dual, whose worth bounds all packings. What ``rounds`` leave uncovered is
+    left to rounding.
     """
     demand, lengths = histogram.astype(float), np.arange(capacity + 1)
-    left, used = demand.copy(), {}
-    while (left > 1e-9).any():
+    left, bound = demand.copy(), 0.0
+    used: dict[tuple[int, ...], float] = {}
+    for _ in range(rounds):
         open_ = left > 1e-9
-        top = int(np.flatnonzero(open_)[-1])
+        if not open_.any():
+            break
         price = lengths / capacity * np.exp(-eta * (1 - left / np.maximum(demand, 1))) * open_
-        pattern = np.zeros(capacity + 1, np.int64)
-        if top < capacity:
-            pattern[: capacity - top + 1] = best_pattern(price, capacity - top)[1]
+        best, pick = knapsack(price, capacity)
+        bound = max(bound, float(price @ demand) / best[capacity])
+        quota = np.minimum(left, step * demand)
+        for top in np.flatnonzero(open_)[::-1].tolist():
+            if quota[top] <= 1e-9:
+                continue
+            pattern = tuple(sorted([top, *taken(pick, capacity - top)], reverse=True))
+            inside, times = np.unique(pattern, return_counts=True)
+            n = float((quota[inside] / times).min())
+            if n > 1e-9:
+                quota[inside] -= n * times
+                left[inside] -= n * times
+                used[pattern] = used.get(pattern, 0.0) + n
+    return used, bound
+
+
+def rounded(used: dict[tuple[int, ...], float], histogram: np.ndarray, share: float) -> dict[tuple[int, ...], int]:
+    """Whole numbers for ``share`` of each pattern's use, nowhere more than there is of a length: in the order of patterns, the running total is rounded down, so that each
+    longest length gets its due however many patterns it is spread over."""
+    left, out = histogram.copy(), {}
+    total, done = 0.0, 0
+    for pattern, n in sorted(used.items(), reverse=True):
+        total += share * n
+        due = int(total + 1e-9) - done
+        done += due
+        inside, times = np.unique(pattern, return_counts=True)
+        due = min(due, int((left[inside] // times).min()))
+        if due > 0:
+            left[inside] -= due * times
+            out[pattern] = due
+    return out
+
+
+def filled(left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
+    """What rounding left: patterns priced around the longest length not yet covered, each used until one of its lengths is covered, rounded down, and the rest by best fit;
+    or best fit for all of it, if that takes fewer sequences."""
+    lengths, rest, open_ = np.arange(capacity + 1), left.copy(), left.astype(float)
+    out: dict[tuple[int, ...], int] = {}
+    while (open_ > 1e-9).any():
+        top = int(np.flatnonzero(open_ > 1e-9)[-1])
+        price = lengths / capacity * np.exp(-0.05 * (1 - open_ / np.maximum(left, 1))) * (open_ > 1e-9)
+        pattern = best_pattern(price, capacity - top)[1] if top < capacity else np.zeros(1, np.int64)
+        pattern = np.append(pattern, np.zeros(capacity + 1 - len(pattern), np.int64))
         pattern[top] += 1
         inside = pattern > 0
-        times = float((left[inside] / pattern[inside]).min())
-        left[inside] -= times * pattern[inside]
-        key = pattern.tobytes()
-        used[key] = used.get(key, 0.0) + times
-    return [(np.frombuffer(k, np.int64), n) for k, n in used.items()]
+        times = float((open_[inside] / pattern[inside]).min())
+        open_[inside] -= times * pattern[inside]
+        n = int(min(times + 1e-9, (rest[inside] // pattern[inside]).min()))
+        if n > 0:
+            rest -= n * pattern
+            key = tuple(np.repeat(lengths, pattern)[::-1].tolist())
+            out[key] = out.get(key, 0) + n
+    out = added(out, best_fit(rest, capacity))
+    plain = best_fit(left, capacity)
+    return out if sum(out.values()) < sum(plain.values()) else plain
+
+
+def added(a: dict[tuple[int, ...], int], b: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
+    return {key: a.get(key, 0) + b.get(key, 0) for key in [*a, *(k for k in b if k not in a)]}
 
 
 def least_sequences(histogram: np.ndarray, capacity: int) -> int:
@@ -135,36 +206,26 @@ class Packing:
         return sum(self.patterns.values())
 
 
-#: `solve` tries these and keeps the packing of the fewest sequences.
-ETAS = (0.05, 0.5, 2.0)
-
-
-def solve(histogram: np.ndarray, capacity: int, etas: tuple[float, ...] = ETAS) -> Packing:
-    """Packs ``histogram[l]`` pieces of each length ``l``: the patterns of `fractional` rounded down, what is left by best fit; or best fit alone if that takes fewer. It ends
-    early at a packing that is as good as any can be."""
+def solve(histogram: np.ndarray, capacity: int, shares: tuple[float, ...] = SHARES) -> Packing:
+    """Packs ``histogram[l]`` pieces of each length ``l``: the configuration program's solution (`fractional`), of which ``shares`` are `rounded` and the rest is `filled`; the
+    packing of the fewest sequences stays. Pieces of the whole capacity are sequences of their own."""
     histogram = histogram.astype(np.int64)
     full, open_ = int(histogram[capacity]), histogram.copy()
     open_[capacity] = 0
-    least = least_sequences(histogram, capacity)
-    best = best_fit(open_, capacity)
-    for eta in etas:
+    used, bound = fractional(open_, capacity)
+    least = max(least_sequences(histogram, capacity), full + math.ceil(bound - 1e-6))
+    best: dict[tuple[int, ...], int] | None = None
+    for share in shares:
+        patterns, left = rounded(used, open_, share), open_.copy()
+        for pattern, n in patterns.items():
+            np.subtract.at(left, list(pattern), n)
+        patterns = added(patterns, filled(left, capacity))
+        if best is None or sum(patterns.values()) < sum(best.values()):
+            best = patterns
         if sum(best.values()) + full <= least:
             break
-        left, patterns = open_.copy(), {}
-        for pattern, times in fractional(open_, capacity, eta):
-            inside = pattern > 0
-            n = int(min(np.floor(times + 1e-9), (left[inside] // pattern[inside]).min()))
-            if n > 0:
-                left -= n * pattern
-                key = tuple(np.repeat(np.arange(capacity + 1), pattern)[::-1].tolist())
-                patterns[key] = patterns.get(key, 0) + n
-        for key, n in best_fit(left, capacity).items():
-            patterns[key] = patterns.get(key, 0) + n
-        if sum(patterns.values()) < sum(best.values()):
-            best = patterns
-    if full:
-        best[(capacity,)] = best.get((capacity,), 0) + full
-    return Packing(best, least)
+    best = best or {}
+    return Packing(added(best, {(capacity,): full}) if full else best, least)
 
 
 def slots(packing: Packing, capacity: int) -> dict[int, np.ndarray]:
