@@ -4,6 +4,7 @@ import asyncio
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from veritab.functions import geo
 from veritab.functions.statistics import anderson_sf, chi2_sf, cvm_cdf, cvm_sf, t_ppf
 from veritab.ml import detectors
 from veritab.operators import anomaly, distribution, drift, quantiles, sketches, strings, timeseries
-from veritab.plans import incremental
+from veritab.plans import catalogue, incremental
 from veritab.plans.checks import run
 from veritab.sources import readers
 from veritab.streaming import windows
@@ -164,6 +165,26 @@ def test_nearest_points_without_a_radius(spark):
     assert geo.pairwise_distances(a.where("lat is not null"), b, "q", "p", "lat", "lon").count() == 5 * len(points)
 
 
+def test_distances_of_rows_that_share_locations(spark, monkeypatch, tmp_path):
+    queries = [(0, 10.0, 20.0), (1, 10.0, 20.0), (1, -30.0, 179.0), (2, None, 5.0), (3, 90.0, 0.0)]
+    points = [(1.0, 2.0), (1.0, 2.0), (1.0, 2.0), (-80.0, -179.5), (0.0, None), (-10.0, -160.0), (90.0, 0.0)]
+    got = geo.distance_summary(spark.createDataFrame(queries, "id int, lat double, lon double"), spark.createDataFrame(points, "lat double, lon double"), "id", "lat", "lon")
+    for r in got.collect():
+        met = [(q[1:], p) for q in queries if q[0] == r.id for p in points]
+        known = [haversine(q, p) for q, p in met if None not in (*q, *p)]
+        assert r.n == len(met) and (r.mean, r.farthest) == ((pytest.approx(np.mean(known)), pytest.approx(max(known))) if known else (None, None))
+    assert got.count() == 4 and geo.distance_summary(spark.createDataFrame(queries, "id int, lat double, lon double"), spark.createDataFrame([], "lat double, lon double"), "id", "lat", "lon").count() == 0
+
+    spark.range(7200).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")  # 361 locations at most
+    met, every = [], geo.pairwise_distances
+    monkeypatch.setattr(geo, "pairwise_distances", lambda *a, **b: met.append(out := every(*a, **b)) or out)
+    found = catalogue.queries()["pairwise_distances"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(catalogue.oracle_sql()["pairwise_distances"]).fetchall())
+    assert met[0].count() <= 361 * 361
+
+
 def test_grubbs(spark):
     values = [RNG.gauss(0, 1) for _ in range(60)] + [9.0, -7.0, 8.0]
     left, found = list(values), 0
