@@ -9,12 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's process, as in local mode."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a cluster, whose machines don't share one, an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not in_one_process(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     made = f"file://{tempfile.mkdtemp(prefix='veritab-')}"
     spark.sparkContext.setCheckpointDir(made)
