@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import decontaminate, neardup, packing, substrings, toxicity
-from veritab.llm.common import stored
+from veritab.llm.common import discard, scratch, stored
 from veritab.llm.queries import tokenizer_path
 
 #: The first stage learns from labels and the last one tokenizes, which SQL can't express.
@@ -27,8 +27,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     numbered = stored(docs.select(row, F.monotonically_increasing_id().alias("n")), "numbered")
-    found = neardup.near_duplicates(numbered.select("n", F.col("row.text").alias("text")), "n", "text").withColumnRenamed("component_id", "node")
-    named = stored(found.join(numbered.select("n", F.col("row.doc_id").alias("doc_id")), "n").select("n", "node", "doc_id"), "found")
+    with scratch() as keep:
+        found = neardup.near_duplicates(numbered.select("n", F.col("row.text").alias("text")), "n", "text").withColumnRenamed("component_id", "node")
+        named = keep(stored(found.join(numbered.select("n", F.col("row.doc_id").alias("doc_id")), "n").select("n", "node", "doc_id"), "found"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
     groups = named.groupBy("node").agg(F.count("*").alias("size"), first["n"].alias("stays")).where("size > 1")
     gone = neardup.told(named, groups).where("n <> stays").select("n")
@@ -64,8 +65,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    last = None
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, discard, full_windows, give_back, hash_words, mixed, sliced, split_words, stored, window_hashes
+from .common import bounded, full_windows, give_back, hash_words, mixed, scratch, sliced, split_words, stored, window_hashes
 from .components import components
 
 #: Nodes of more documents than this are met by a broadcast of their few rows, where other nodes' rows are shuffled by node.
@@ -276,20 +276,21 @@ def _heads(full: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
     n - that + 1. m is at least percent % of n, and at least the smallest set in a node of the document. Shingles that no other document has are left out: so documents of
     which that many are their own, such as copies that are edited too much, have no row. Rarity is counted by partial sums: a common shingle is no hot key.
     """
-    least = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("n").alias("least"))
-    own = stored(told(rows.drop("size"), least).groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
-    sets = full.withColumnRenamed("id", "v")
-    each = sets.join(bounded(own.select("v")), "v").select("v", F.explode("set").alias("shingle"))
-    counts = stored(each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("v").alias("first")), "shingles")
-    alone = counts.where("docs = 1").groupBy(F.col("first").alias("v")).agg(F.count("*").alias("alone"))
-    common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * how.percent / 100))) * how.percent / (100 + how.percent))
-    known = own.join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("meeting", F.col("n") - common + 1)
-    able = stored(known.where("alone < meeting").select("v", "n", "component", "alone", "meeting"), "able")
-    again = sets.join(bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle"))
-    again = told(again, counts.where("docs > 1").select("shingle", F.col("docs").alias("size")), "shingle").withColumnRenamed("size", "docs")
-    placed = again.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("docs", "shingle"))).join(bounded(able), "v")
-    head = placed.where(F.col("place") + F.col("alone") <= F.col("meeting"))
-    return stored(head.select("v", "component", (F.col("n") - F.col("alone")).alias("shared"), "shingle"), "heads")
+    with scratch() as keep:
+        least = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+        own = stored(told(rows.drop("size"), least).groupBy("v").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least")), "own")
+        sets = full.withColumnRenamed("id", "v")
+        each = sets.join(bounded(own.select("v")), "v").select("v", F.explode("set").alias("shingle"))
+        counts = stored(each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("v").alias("first")), "shingles")
+        alone = counts.where("docs = 1").groupBy(F.col("first").alias("v")).agg(F.count("*").alias("alone"))
+        common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * how.percent / 100))) * how.percent / (100 + how.percent))
+        known = own.join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("meeting", F.col("n") - common + 1)
+        able = stored(known.where("alone < meeting").select("v", "n", "component", "alone", "meeting"), "able")
+        again = sets.join(bounded(able.select("v")), "v").select("v", F.explode("set").alias("shingle"))
+        again = told(again, counts.where("docs > 1").select("shingle", F.col("docs").alias("size")), "shingle").withColumnRenamed("size", "docs")
+        placed = again.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("docs", "shingle"))).join(bounded(able), "v")
+        head = placed.where(F.col("place") + F.col("alone") <= F.col("meeting"))
+        return keep(stored(head.select("v", "component", (F.col("n") - F.col("alone")).alias("shared"), "shingle"), "heads"))
 
 
 def _branched(heads: DataFrame, large: DataFrame, full: DataFrame, how: Join) -> DataFrame:
@@ -355,20 +356,19 @@ def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     other. The documents of large nodes, which are never gathered, branch once more, by their rarest shingles, where linked ones are sure to meet; nodes that are large
     even then are compared by pairs of blocks.
     """
-    met = stored(_distinct_nodes(_first_nodes(sets, how)).join(sets.select("v", "n", "sketch"), "v"), "met")
-    full = stored(_sets_of(docs, met.select(F.col("v").alias("id")).distinct(), how), "sets")
-    close = stored(_confirmed(_all_stars(met, how), full, how), "links")
-    found = stored(components(close), "components")
-    labelled = met.join(bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    open_ = stored(_mixed(labelled), "open")
-    heads = _heads(full, open_, how)
-    several = heads.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "size")
-    touching = told(heads, several, "shingle").select("v", "shared").distinct()
-    able = stored(_mixed(open_.join(touching, "v")), "able")
-    pairs = stored(_across(able.where(F.col("size") <= how.node), how).union(_branched(heads, able.where(F.col("size") > how.node), full, how)).distinct(), "pairs")
-    out = stored(close.union(_confirmed(pairs, full, how)), "links")
-    discard(met, full, close, found, open_, heads, able, pairs)
-    return out
+    with scratch() as keep:
+        met = stored(_distinct_nodes(_first_nodes(sets, how)).join(sets.select("v", "n", "sketch"), "v"), "met")
+        full = stored(_sets_of(docs, met.select(F.col("v").alias("id")).distinct(), how), "sets")
+        close = stored(_confirmed(_all_stars(met, how), full, how), "links")
+        found = stored(components(close), "components")
+        labelled = met.join(bounded(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+        open_ = stored(_mixed(labelled), "open")
+        heads = _heads(full, open_, how)
+        several = heads.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "size")
+        touching = told(heads, several, "shingle").select("v", "shared").distinct()
+        able = stored(_mixed(open_.join(touching, "v")), "able")
+        pairs = stored(_across(able.where(F.col("size") <= how.node), how).union(_branched(heads, able.where(F.col("size") > how.node), full, how)).distinct(), "pairs")
+        return keep(stored(close.union(_confirmed(pairs, full, how)), "links"))
 
 
 def _distinct_nodes(rows: DataFrame) -> DataFrame:

@@ -266,7 +266,8 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = 35) -
 
     places = named.where(F.length("__text") >= 2 * width - 1).select(key["a"].alias("a"), key["b"].alias("b"), "__text").mapInArrow(name, "a long, b long, first long, sid binary")
     gone = places.join(found, "sid").groupBy("a", "b").agg(F.collect_set(F.struct("first", "runs")).alias("gone"))
-    rows = named.select("row", key["a"].alias("a"), key["b"].alias("b"), "__text").join(gone, ["a", "b"], "left").select("row", "__text", "gone")
+    dealt = named.select("row", key["a"].alias("a"), key["b"].alias("b")).join(gone, ["a", "b"], "left")
+    rows = dealt.select("row", F.col("row")[text_col].cast("string").alias("__text"), "gone")  # a text travels once, in its row
     kind = rows.schema["row"].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
